@@ -1,13 +1,16 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from . import packing, sharding, token_counts, url_filter, wavelet
+from . import decontamination, language_id, packing, quality, sharding, token_counts, url_filter, wavelet
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_language_id": language_id.op4_language_id,
     "op5_sharding": sharding.op5_sharding,
+    "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_packing": packing.op9_packing,
     "op10_token_files": wavelet.op10_token_files,
 }
 
-ORACLES = {"op8_url_filter": url_filter.OP8_SQL}
+ORACLES = {"op2_decontamination": decontamination.OP2_SQL, "op8_url_filter": url_filter.OP8_SQL}
