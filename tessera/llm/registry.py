@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from . import decontamination, language_id, packing, quality, sharding, token_counts, url_filter, wavelet
+from . import decontamination, html_text, language_id, packing, quality, sharding, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_language_id": language_id.op4_language_id,
     "op5_sharding": sharding.op5_sharding,
+    "op6_html_text": html_text.op6_html_text,
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_packing": packing.op9_packing,
