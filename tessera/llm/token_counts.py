@@ -17,13 +17,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import chunk_lists, unknown
+from .token_ids import Memory
 from .workspace import fields, table
 
 #: The published pre-token pattern of this vocabulary, a fixed value.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NEVER = np.int32(2**31 - 1)
-#: Bounds of memory: distinct chunks remembered by a worker, and symbols merged at once.
-REMEMBERED, SYMBOLS = 1_200_000, 1 << 20
+#: Symbols that are merged at once.
+SYMBOLS = 1 << 20
 
 
 def default_vocabulary() -> str:
@@ -94,7 +95,7 @@ class Counter:
         self.of_byte = np.zeros(256, np.int32)
         for symbol, byte in byte_symbols().items():
             self.of_byte[byte] = vocab[symbol]
-        self.known: dict[str, int] = {}
+        self.known = Memory()
 
     def merge(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(surviving ids, count of each sequence): the rank-synchronous merging itself."""
@@ -151,8 +152,6 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         known, cut = self.known, self.cut
-        if len(known) > REMEMBERED:
-            known.clear()
         pieces, owner = list(texts), range(len(texts))
         counts = np.zeros(len(texts), np.int64)
         if cut and any(s in text for text in texts for s in self.special):
@@ -162,10 +161,8 @@ class Counter:
         parts = chunk_lists(pieces)
         parts = [[p] if c is None else c for p, c in zip(pieces, parts, strict=True)]
         new = unknown(parts, known)
-        fresh = dict(zip(new, self.count_pieces(new).tolist(), strict=True))
-        short = {c: n for c, n in fresh.items() if len(c) <= 64}
-        known.update(short)
-        get = (known if len(short) == len(fresh) else known | fresh).__getitem__
+        known.learn(dict(zip(new, self.count_pieces(new).tolist(), strict=True)))
+        get = known.__getitem__
         np.add.at(counts, np.array(owner, np.int64), np.array([sum(map(get, cuts)) for cuts in parts], np.int64))
         return counts.tolist()
 

@@ -1,15 +1,18 @@
-"""Token ids of whole texts by the tokenizers library, each distinct chunk encoded once."""
+"""Token ids of whole texts by the tokenizers library, each distinct chunk encoded once while it is remembered."""
 
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import numpy as np
 
 from .chunks import chunk_lists, unknown
 
-#: Distinct chunks that a worker remembers.
-REMEMBERED = 1_200_000
+#: Distinct chunks that a worker remembers; later ones are encoded again where they occur.
+REMEMBERED = 1_000_000
+#: Characters of a chunk that is remembered, and chunks that the library gets as one text.
+LONGEST, TOGETHER = 40, 64
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +21,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """Remembered chunks; others of the present texts are looked up beside them."""
+
+    def __init__(self):
+        super().__init__()
+        self.beside: dict = {}
+
+    def __missing__(self, chunk: str):
+        return self.beside[chunk]
+
+    def learn(self, fresh: dict) -> None:
+        room = REMEMBERED - len(self)
+        if room >= len(fresh):
+            self.update((c, x) for c, x in fresh.items() if len(c) <= LONGEST)
+        self.beside = fresh
+
+
 class Encoder:
     """Texts -> little-endian unsigned 16-bit ids as bytes (vocabularies of up to 65,536 ids)."""
 
@@ -28,30 +48,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        if self.library.get_vocab_size() > 1 << 16:
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        if max(vocab.values()) >= 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # bytes of text behind each id: a byte-level symbol stands for one byte, a word-end mark for none
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, number in vocab.items():
+            self.width[number] = len(token.removesuffix("</w>"))
+        self.normal = self.library.normalizer is not None  # NFC, no white space, lower case
+        self.known = Memory()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u2").tobytes() for e in found]
 
-    def chunk_ids(self, new: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        ends = np.cumsum([len(x) for x in ids]) * 2
-        flat = np.fromiter((i for x in ids for i in x), "<u2", int(ends[-1]) // 2 if len(ends) else 0).tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
+    def chunk_ids(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of each chunk. Plain chunks go to the library as texts of some dozens; the ids are cut where the
+        chunks' bytes end, and a text whose ids don't end there exactly is encoded chunk by chunk."""
+        plain = [c for c in new if c[0] == " " and len(c) > 1 and " " not in c[1:] and "\n" not in c]
+        plain = [c for c in plain if "|" not in c or not any(s in c for s in self.special)]
+        if self.normal:
+            plain = [c for c in plain if c.isascii() or unicodedata.is_normalized("NFC", c)]
+        done: dict[str, bytes] = {}
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        texts = ["".join(g) for g in groups]
+        for group, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int64)
+            at = np.cumsum(self.width[ids])
+            ends = np.cumsum([len(c.lower().encode()) - 1 for c in group] if self.normal else [len(c.encode()) for c in group])
+            cuts = np.searchsorted(at, ends)
+            if len(at) and cuts[-1] == len(at) - 1 and (at[cuts] == ends).all():
+                raw, stops = ids.astype("<u2").tobytes(), ((cuts + 1) * 2).tolist()
+                first = 0
+                for c, stop in zip(group, stops, strict=True):
+                    done[c] = raw[first:stop]
+                    first = stop
+        rest = [c for c in new if c not in done]
+        done.update(zip(rest, self.whole(rest), strict=True))
+        return done
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         parts = chunk_lists(texts)
-        new = unknown(parts, known)
-        fresh = dict(zip(new, self.chunk_ids(new), strict=True))
-        short = {c: x for c, x in fresh.items() if len(c) <= 64}
-        known.update(short)
-        get = (known if len(short) == len(fresh) else known | fresh).__getitem__
+        self.known.learn(self.chunk_ids(unknown(parts, self.known)))
+        get = self.known.__getitem__
         odd = [k for k, cuts in enumerate(parts) if cuts is None]
         out = [b"" if cuts is None else b"".join(map(get, cuts)) for cuts in parts]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
@@ -64,7 +104,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def groups(texts: list[str], most: int = 2_000_000):
+def groups(texts: list[str], most: int = 4_000_000):
     """Runs of texts of about ``most`` characters each."""
     group, size = [], 0
     for t in texts:
