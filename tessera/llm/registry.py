@@ -1,8 +1,9 @@
 """The queries of this subpackage, and their DuckDB SQL where SQL can express them."""
 
-from . import decontamination, html_text, language_id, packing, quality, sharding, token_counts, url_filter, wavelet
+from . import decontamination, html_text, jaccard_join, language_id, packing, quality, sharding, token_counts, url_filter, wavelet
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_language_id": language_id.op4_language_id,

@@ -117,5 +117,5 @@ def shingle_set(hashes: np.ndarray, all_windows: np.ndarray, first: int, last: i
         return np.unique(all_windows[first : last - size + 1])
     if n == 0:
         return np.empty(0, np.uint64)
-    value = (hashes[first:last] * _PLACE[:n]).sum(dtype=np.uint64) + _SHORT[n]
-    return mix(np.array([value], np.uint64))
+    value = np.add.reduce(hashes[first:last] * _PLACE[:n], keepdims=True) + _SHORT[n : n + 1]
+    return mix(value)
