@@ -1,30 +1,19 @@
-"""Cutting texts into chunks that a byte-level BPE tokenizer treats apart, so that each distinct chunk is done once.
-
-No token of the two vocabularies spans the border between a non-space and a following space or newline, so a text
-whose only white space is spaces and newlines is the sum of its chunks ``white space + word``. Other texts are
-taken whole. Both ways give the library's ids exactly.
-"""
+"""Texts whose white space is more than spaces and newlines."""
 
 from __future__ import annotations
 
-import re
-
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-
+import numpy as np
 
-#: Every character that some definition calls white space, but for the space and the newline: fixed values.
+# Every character that some definition calls white space, but for the space and the newline.
 ODD = [chr(c) for c in (9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_ODD_BYTES = [c.encode() for c in ODD]
 
 
-def chunk_lists(texts: list[str]) -> list[list[str] | None]:
-    """The chunks of each text, None where it has other white space."""
-    everything = "".join(texts)
-    if not any(c in everything for c in ODD):
-        return [CHUNK.findall(t) for t in texts]
-    return [None if OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
-
-
-def unknown(parts: list[list[str] | None], known: dict) -> list[str]:
-    """The distinct chunks that aren't known yet."""
-    return list(set().union(*[p for p in parts if p]).difference(known.keys()))
+def odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows that have such a character, for texts as flat UTF-8."""
+    raw = data.tobytes()
+    found = [c for c in _ODD_BYTES if c in raw]
+    if not found:
+        return np.empty(0, np.int64)
+    rows = [k for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)) if any(c in raw[a:b] for c in found)]
+    return np.array(rows, np.int64)

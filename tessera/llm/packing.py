@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_ids
+from . import arrow_text, token_ids
 from .workspace import fields, table, written
 
 WINDOW, END_ID = 2048, 1
 #: Pieces that one task packs together.
 PIECES_PER_BIN = 40_000
+#: Bytes of text that are encoded before their pieces are handed on.
+SLICE_BYTES = 8 << 20
 
 
 class OpenWindows:
@@ -85,26 +87,23 @@ def cut_pieces(df: DataFrame, kind: str, path: str, window: int, end_id: int) ->
     """Rows (key, text) -> pieces: full windows of overlong documents, then what remains of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = token_ids.encoder(path).encode, np.array([end_id], "<u2").tobytes()
+        encode = token_ids.encoder(path).encode
         for batch in batches:
-            keys, at = batch.column(0), 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for group in token_ids.groups(texts):
-                row, start, length, crc, total = [], [], [], [], []
-                for ids in encode(group):
-                    flat = np.frombuffer(ids + end, "<u2").astype("<u4")
-                    for first in range(0, len(flat), window):
-                        part = flat[first : first + window]
-                        row.append(at)
-                        start.append(first)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        total.append(len(flat))
-                    at += 1
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]],
-                    names=["key", "start", "length", "ids_crc32", "doc_tokens"],
-                )
+            data, offsets = arrow_text.flat(batch.column(1))
+            for a, b in arrow_text.slices(offsets, SLICE_BYTES):
+                ids, counts = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                flat, ends = token_ids.with_end(ids, counts, end_id)
+                n = counts + 1
+                pieces = -(-n // window)
+                row = np.repeat(np.arange(b - a), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(n[row] - start, window)
+                first = (ends - n)[row] + start
+                raw = memoryview(flat.tobytes())
+                crc = [zlib.crc32(raw[4 * i : 4 * (i + k)]) for i, k in zip(first.tolist(), length.tolist(), strict=True)]
+                numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, n[row])]
+                keys = batch.column(0).take(pa.array(row + a, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *numbers], names=["key", "start", "length", "ids_crc32", "doc_tokens"])
 
     return df.mapInArrow(run, PIECES.format(kind=kind))
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import chunk_lists, unknown
-from .token_ids import Memory
+from . import arrow_text
+from .token_ids import ChunkMemory
 from .workspace import fields, table
 
 #: The published pre-token pattern of this vocabulary, a fixed value.
@@ -95,7 +95,7 @@ class Counter:
         self.of_byte = np.zeros(256, np.int32)
         for symbol, byte in byte_symbols().items():
             self.of_byte[byte] = vocab[symbol]
-        self.known = Memory()
+        self.memory = ChunkMemory(self.chunk_counts, self.text_counts, dtype="<i4")
 
     def merge(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(surviving ids, count of each sequence): the rank-synchronous merging itself."""
@@ -150,21 +150,26 @@ class Counter:
             first = last
         return np.array([sum(tokens[w] for w in ws) for ws in found], np.int64)
 
-    def count(self, texts: list[str]) -> list[int]:
-        known, cut = self.known, self.cut
-        pieces, owner = list(texts), range(len(texts))
-        counts = np.zeros(len(texts), np.int64)
-        if cut and any(s in text for text in texts for s in self.special):
-            split = [cut.split(text) for text in texts]
-            pieces, owner = [p for ps in split for p in ps], [k for k, ps in enumerate(split) for _ in ps]
+    def chunk_counts(self, chunks: list[str]) -> list[np.ndarray]:
+        """Tokens of each chunk, special tokens in it included, as arrays of one number."""
+        pieces, owner = chunks, np.arange(len(chunks))
+        counts = np.zeros(len(chunks), np.int64)
+        if self.cut and any(s in c for c in chunks for s in self.special):
+            split = [self.cut.split(c) for c in chunks]
+            pieces, owner = [p for ps in split for p in ps], np.repeat(owner, [len(ps) for ps in split])
             counts += np.array([len(ps) - 1 for ps in split], np.int64)
-        parts = chunk_lists(pieces)
-        parts = [[p] if c is None else c for p, c in zip(pieces, parts, strict=True)]
-        new = unknown(parts, known)
-        known.learn(dict(zip(new, self.count_pieces(new).tolist(), strict=True)))
-        get = known.__getitem__
-        np.add.at(counts, np.array(owner, np.int64), np.array([sum(map(get, cuts)) for cuts in parts], np.int64))
-        return counts.tolist()
+        np.add.at(counts, owner, self.count_pieces(pieces))
+        return list(counts.astype("<i4").reshape(-1, 1))
+
+    def text_counts(self, text: str) -> np.ndarray:
+        return self.chunk_counts([text])[0]
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each text, for texts as flat UTF-8."""
+        values, n = self.memory.run(data, offsets)
+        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        ends = np.cumsum(n)
+        return total[ends] - total[ends - n]
 
 
 @functools.lru_cache(maxsize=2)
@@ -172,10 +177,6 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-#: Characters of texts that are counted together.
-GROUP_CHARS = 4_000_000
-
-
 def token_counts(
     df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = 512
 ) -> DataFrame:
@@ -189,17 +190,9 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, group, size = [], [], 0
-            for t in texts:
-                group.append(t)
-                size += len(t)
-                if size > GROUP_CHARS:
-                    counts += tool.count(group)
-                    group, size = [], 0
-            counts += tool.count(group)
-            tokens = np.array(counts, np.int64)
-            n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
+            data, offsets = arrow_text.flat(batch.column(1))
+            tokens = tool.count(data, offsets)
+            n_bytes = pa.array(np.diff(offsets), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), n_bytes, pa.array(tokens), pa.array(tokens > limit)],
                 names=["key", "n_bytes", "n_tokens", "over_limit"],

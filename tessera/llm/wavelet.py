@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import token_ids
+from . import arrow_text, token_ids
 from .workspace import fields, shared_dir, table, written
 
 MAGIC = b"WVMATRX1"
@@ -48,12 +48,14 @@ class WaveletMatrix:
         planes, zeros, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
             one = (ids & ids.dtype.type(1 << level)) != 0
-            low, high = ids[~one], ids[one]
-            planes.append(np.packbits(one))
-            zeros.append(len(low))
-            sums = np.add.reduceat(one, np.arange(0, len(one), BLOCK), dtype=np.int64) if len(one) else np.empty(0, np.int64)
+            plane = np.packbits(one)
+            planes.append(plane)
+            ones = np.bitwise_count(plane)
+            sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK >> 3), dtype=np.int64) if len(ones) else np.empty(0, np.int64)
             ranks.append(np.concatenate([[0], np.cumsum(sums)]).astype(np.int64))
-            ids = np.concatenate([low, high])
+            zeros.append(len(ids) - int(ranks[-1][-1]))
+            if level:  # indices and take are several times faster than masks on bits without a pattern
+                ids = np.concatenate([ids.take(np.flatnonzero(~one)), ids.take(np.flatnonzero(one))])
         return cls(len(ids), planes, zeros, ranks)
 
     def _bit(self, level: int, at: int) -> int:
@@ -124,8 +126,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n).view(np.bool_)
             above = np.empty_like(out)
-            above[~one] = out[: self.zeros[level]]
-            above[one] = out[self.zeros[level] :] | out.dtype.type(1 << (self.levels - 1 - level))
+            above[np.flatnonzero(~one)] = out[: self.zeros[level]]
+            above[np.flatnonzero(one)] = out[self.zeros[level] :] | out.dtype.type(1 << (self.levels - 1 - level))
             out = above
         return out
 
@@ -217,23 +219,21 @@ def write_token_files(
     placed = ranged.select("key", "text", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = token_ids.encoder(path), np.array([end_id], "<u2").tobytes()
-        keys, ids, ends, n, shard = [], [], [], 0, None
+        tool, keys, ids, lengths, shard = token_ids.encoder(path), [], [], [], None
         for batch in batches:
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
             keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for group in token_ids.groups(texts):
-                for x in tool.encode(group):
-                    ids += (x, end)
-                    n += len(x) // 2 + 1
-                    ends.append(n)
+            found, counts = tool.encode(*arrow_text.flat(batch.column(1)))
+            flat, _ = token_ids.with_end(found, counts, end_id)
+            ids.append(flat.astype("<u2"))
+            lengths.append(counts + 1)
         if shard is None:
             return
-        key_array, end_array = np.concatenate(keys).astype(np.int64), np.array(ends, np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u2")
+        key_array, end_array = np.concatenate(keys).astype(np.int64), np.cumsum(np.concatenate(lengths))
+        flat = np.concatenate(ids)
         ids.clear()
+        n = len(flat)
         data = to_bytes(key_array, end_array, WaveletMatrix.build(flat))
         name = f"{folder}/shard-{shard:06d}.wvm"
         publish(name, data)
@@ -261,7 +261,7 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
             for path, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 keys, ends, matrix = from_bytes(read_file(path))
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                ids = matrix.ids().astype("<u4").tobytes()
+                ids = memoryview(matrix.ids().astype("<u4").tobytes())
                 crc = [zlib.crc32(ids[a * 4 : b * 4]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
