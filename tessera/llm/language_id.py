@@ -22,6 +22,8 @@ PROFILE = 400
 SAMPLE_PER_LANGUAGE = 2_000
 #: Characters taken at once from a long text; counts of all parts are summed.
 PART = 1 << 21
+#: Stands for everything between words; no letter has this code.
+BORDER = 1
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
@@ -39,14 +41,14 @@ def _part_codes(text: str) -> np.ndarray:
     letter = _letters()[points]
     if not letter.any():
         return np.empty(0, np.int64)
-    c = np.zeros(len(points) + 2, np.int64)
-    c[1:-1] = np.where(letter, points, 0)
+    c = np.full(len(points) + 2, BORDER, np.int64)
+    c[1:-1] = np.where(letter, points, BORDER)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # one border between words
+    keep[1:] = (c[1:] != BORDER) | (c[:-1] != BORDER)  # one border between words
     c = c[keep]
     two = c[:-1] << 21 | c[1:]
     three = two[:-1] << 21 | c[2:]
-    return np.concatenate([c[c != 0], two, three[c[1:-1] != 0]])
+    return np.concatenate([c[c != BORDER], two, three[c[1:-1] != BORDER]])
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
