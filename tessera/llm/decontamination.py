@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .workspace import fields, table
+from .workspace import fields, table, without
 
 SHINGLE, SHARE = 5, (3, 4)
 #: Item shingles up to this many (under 64 bytes each) are broadcast; more are joined by shuffle.
@@ -77,8 +77,7 @@ def contained_items(
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of documents whose id has no contained item; rows with a null id are judged by their id too."""
-    bad = contained_items(documents, benchmark, key, **options).select(F.col(key).alias("__bad")).distinct()
-    return documents.join(bad, documents[key].eqNullSafe(bad["__bad"]), "left_anti")
+    return without(documents, key, contained_items(documents, benchmark, key, **options).select(key))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

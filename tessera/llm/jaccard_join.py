@@ -27,18 +27,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrow_text
 from .components import components
 from .words import shingle_set, windows, word_hashes
-from .workspace import fields, table, written
+from .workspace import fields, table, without, written
 
 SHINGLE = 5
 #: Similarity of linked sets at least, as (up, down): 100 * shared >= 75 * union.
 SIMILAR = (3, 4)
-#: Shingles counted together in one task, rows packed together, and points of a region that one task joins.
-RANGE_SHINGLES, PACK_ROWS, REGION_POINTS = 1 << 20, 10_000, 20_000
+#: Shingles counted together in one task, shingles and sets packed together, and points of a region that one task joins.
+RANGE_SHINGLES, PACK_SHINGLES, PACK_SETS, REGION_POINTS = 1 << 20, 3 << 20, 60_000, 20_000
 #: Bytes of points outside that are compared with a ball at once.
 BLOCK_BYTES = 32 << 20
 
@@ -83,35 +84,38 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack_shingles(documents: DataFrame, text: str, size: int, bits: int) -> DataFrame:
-    """Shingles as packed arrays by hash range: a = 48 bits of each hash, b = row in its home. A home is a run of rows
+    """Shingles as packed arrays by hash range: a = 48 bits of each hash, b = row in its home. A home is a run of sets
     of one task, told by the task's number; its roster has the sets' names and sizes. Equal sets of a home are one."""
 
+    def packed(sets: dict[bytes, np.ndarray], home: int) -> pa.RecordBatch:
+        lengths = np.array([len(s) for s in sets.values()])
+        every = np.concatenate(list(sets.values()))
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
+        part = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        owner, bounds = owner[order], np.searchsorted(part[order], np.arange((1 << bits) + 1))
+        low = ((every << np.uint64(bits)) >> np.uint64(16))[order]
+        rows = []
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            x = low[bounds[p] : bounds[p + 1]]
+            six = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            rows.append((p, home, False, six, owner[bounds[p] : bounds[p + 1]].tobytes(), None))
+        rows.append((home % (1 << bits), home, True, b"".join(sets), lengths.astype("<i8").tobytes(), None))
+        return _packed(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home = TaskContext.get().partitionId() << 32
+        home, sets, n = TaskContext.get().partitionId() << 32, {}, 0
         for batch in batches:
-            for first in range(0, batch.num_rows, PACK_ROWS):
-                sets: dict[bytes, np.ndarray] = {}
-                for s in shingle_sets(batch.column(0).slice(first, PACK_ROWS), size):
-                    if len(s):
-                        sets.setdefault(set_key(s), s)
-                if not sets:
-                    continue
-                lengths = np.array([len(s) for s in sets.values()])
-                every = np.concatenate(list(sets.values()))
-                owner = np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
-                part = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-                order = np.argsort(part, kind="stable")
-                low = ((every << np.uint64(bits)) >> np.uint64(16))[order]
-                owner, bounds = owner[order], np.searchsorted(part[order], np.arange((1 << bits) + 1))
-                rows = []
-                for p in np.flatnonzero(np.diff(bounds)).tolist():
-                    x = low[bounds[p] : bounds[p + 1]]
-                    six = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    rows.append((p, home, False, six, owner[bounds[p] : bounds[p + 1]].tobytes(), None))
-                roster = b"".join(sets)
-                rows.append((home % (1 << bits), home, True, roster, lengths.astype("<i8").tobytes(), None))
-                yield _packed(rows)
-                home += 1
+            for s in shingle_sets(batch.column(0), size):
+                name = set_key(s)
+                if name is not None and name not in sets:
+                    sets[name] = s
+                    n += len(s)
+                    if n >= PACK_SHINGLES or len(sets) >= PACK_SETS:
+                        yield packed(sets, home)
+                        home, sets, n = home + 1, {}, 0
+        if sets:
+            yield packed(sets, home)
 
     return documents.select(text).mapInArrow(run, _PACKED)
 
@@ -124,8 +128,9 @@ def _six(blob: bytes) -> np.ndarray:
 
 def _shared(group: pa.Table) -> pa.Table:
     """One range's shingles -> those found in two sets or more, per home, with c = the number of sets."""
-    rows = [r for r in group.to_pylist() if not r["roster"]]
-    out = [(r["part"], r["home"], True, r["a"], r["b"], None) for r in group.to_pylist() if r["roster"]]
+    every = group.to_pylist()
+    rows = [r for r in every if not r["roster"]]
+    out = [(r["part"], r["home"], True, r["a"], r["b"], None) for r in every if r["roster"]]
     if rows:
         low = np.concatenate([_six(r["a"]) for r in rows])
         owner = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in rows])
@@ -148,7 +153,7 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_packed(out)])
 
 
-_POINTS = "set binary, n bigint, ids binary, border array<bigint>"
+_POINTS = "home bigint, set binary, n bigint, ids binary, border array<bigint>"
 
 
 def _identity(low: np.ndarray, part: int, bits: int) -> np.ndarray:
@@ -185,8 +190,9 @@ def _points(group: pa.Table, bits: int) -> pa.Table:
         pa.array(np.concatenate([[0], np.cumsum([len(b) for b in borders])]), pa.int32()),
         pa.array(np.concatenate(borders) if borders else np.empty(0, np.int64)),
     )
-    arrays = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), border]
-    return pa.Table.from_arrays(arrays, names=["set", "n", "ids", "border"])
+    home = pa.array([group.column("home")[0].as_py()] * len(names), pa.int64())
+    arrays = [home, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), border]
+    return pa.Table.from_arrays(arrays, names=["home", "set", "n", "ids", "border"])
 
 
 def least_overlap(n: int) -> int:
@@ -283,7 +289,7 @@ def _split_large(points: DataFrame) -> tuple[DataFrame, DataFrame]:
             arrays = [batch.column(k) for k in range(4)] + [pa.array(names, pa.binary()), pa.array(keep["distance"], pa.float64()), pa.array(keep["linked"], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["region", "set", "n", "ids", "pivot", "distance", "linked"])
 
-    schema = "region binary, set binary, n bigint, ids binary, pivot binary, distance double, linked boolean"
+    schema = "region bigint, set binary, n bigint, ids binary, pivot binary, distance double, linked boolean"
     measured = written(points.select("region", "set", "n", "ids").join(pivots, "region").mapInArrow(measure, schema), "measured")
     ball, outside = measured.where("linked"), measured.where("not linked")
     links = ball.where(F.col("set") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("set").alias("b"))
@@ -292,9 +298,9 @@ def _split_large(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = math.ceil(total / BLOCK_BYTES)
     for block in range(blocks):
         rows = outside.where(F.pmod(F.xxhash64("region", "set"), F.lit(blocks)) == block).select("region", "set", "n", "ids", "distance").collect()
-        by_region: dict[bytes, list] = {}
+        by_region: dict[int, list] = {}
         for r in rows:
-            by_region.setdefault(bytes(r["region"]), []).append(r)
+            by_region.setdefault(r["region"], []).append(r)
         held = {
             name: (Region([bytes(r["set"]) for r in rs], np.array([r["n"] for r in rs]), [bytes(r["ids"]) for r in rs]), np.array([r["distance"] for r in rs]))
             for name, rs in by_region.items()
@@ -302,7 +308,7 @@ def _split_large(points: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared_block = spark.sparkContext.broadcast(held)
 
         def compare(batches: Iterator[pa.RecordBatch], shared_block=shared_block) -> Iterator[pa.RecordBatch]:
-            done: set[tuple[bytes, int]] = set()  # one link to the ball is enough for a point
+            done: set[tuple[int, int]] = set()  # one link to the ball is enough for a point
             for batch in batches:
                 left, right = [], []
                 for region, name, n, ids, distance in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
@@ -330,13 +336,18 @@ def similar_sets(documents: DataFrame, total: int, text: str = "text", size: int
     bits = min(24, max(3, math.ceil(math.log2(max(1, total) / RANGE_SHINGLES))))
     packed = _pack_shingles(documents, text, size, bits)
     shared = packed.groupBy("part").applyInArrow(_shared, _PACKED)
-    points = shared.groupBy("home").applyInArrow(lambda t: _points(t, bits), _POINTS).dropDuplicates(["set"])
-    points = written(points, "points")
-    cells = points.select("set", F.explode("border").alias("shingle"))
-    pivots = cells.groupBy("shingle").agg(F.min("set").alias("region"), F.count("*").alias("n")).where("n > 1").select("shingle", "region")
-    members = written(cells.join(pivots, "shingle").select("region", "set").distinct(), "members")
+    points = written(shared.groupBy("home").applyInArrow(lambda t: _points(t, bits), _POINTS), "points")
+    # cells and regions go by 64-bit names of points: should two points ever share one, a region has both of them
+    point = F.xxhash64("set").alias("point")
+    cells = points.select(point, F.explode("border").alias("shingle"))
+    cell = W.partitionBy("shingle")
+    cells = cells.withColumns({"region": F.min("point").over(cell), "last": F.max("point").over(cell)})
+    members = cells.where(F.col("region") < F.col("last")).select("region", "point").distinct()
+    # a set that several homes have is taken from one of them
+    chosen = points.groupBy("set").agg(F.min("home").alias("home")).withColumn("point", F.xxhash64("set"))
+    members = written(members.join(chosen, "point").select("region", "set", "home"), "members")
     sizes = members.groupBy("region").count()
-    placed = members.join(points.select("set", "n", "ids"), "set")
+    placed = members.join(points.select("set", "home", "n", "ids"), ["set", "home"]).select("region", "set", "n", "ids")
     large = sizes.where(F.col("count") > region_points).select("region")
     links = None
     if large.limit(1).count():
@@ -390,8 +401,7 @@ def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text",
     with a null key stay where they are alone in their group."""
     found = written(jaccard_components(documents, key, text, **options), "groups")
     name = found.columns[0]
-    gone = found.where(~F.col(name).eqNullSafe(F.col("component_id"))).select(F.col(name).alias("__gone")).distinct()
-    kept = documents.join(gone, documents[key].eqNullSafe(gone["__gone"]), "left_anti")
+    kept = without(documents, key, found.where(~F.col(name).eqNullSafe(F.col("component_id"))).select(name))
     twice = found.where(F.col(name) == F.col("component_id")).groupBy(name).count().where("count > 1")
     return kept.dropDuplicates([key]) if twice.limit(1).count() else kept
 

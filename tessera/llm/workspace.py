@@ -35,11 +35,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that Spark hands to a Python worker at once: texts are long, and several copies exist on the way.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to ``BATCH_ROWS`` and ``BATCH_BYTES`` where they are higher."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
+
+
 def fields(df: DataFrame, **names: str) -> DataFrame:
-    """Keep only the named columns under fixed internal names; anything else can clash with nothing."""
+    """Keep only the named columns under fixed internal names, so that no other column clashes; bounds batches too."""
     from pyspark.sql import functions as F
 
+    bound_batches(df.sparkSession)
     for column in names.values():
         if column not in df.columns:
             raise ValueError(f"no column {column!r}")
     return df.select(*[F.col(f"`{column}`").alias(alias) for alias, column in names.items()])
+
+
+#: Keys up to this many (under 100 bytes each) are broadcast by ``without``; more are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key isn't among the distinct keys of the one-column table ``gone``; null equals null."""
+    from pyspark.sql import functions as F
+
+    gone = written(gone.toDF("__gone").distinct(), "gone")
+    side = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
+    return df.join(side, df[key].eqNullSafe(side["__gone"]), "left_anti")
