@@ -39,7 +39,7 @@ SHINGLE = 5
 #: Similarity of linked sets at least, as (up, down): 100 * shared >= 75 * union.
 SIMILAR = (3, 4)
 #: Shingles counted together in one task, shingles and sets packed together, and points of a region that one task joins.
-RANGE_SHINGLES, PACK_SHINGLES, PACK_SETS, REGION_POINTS = 1 << 20, 3 << 20, 60_000, 20_000
+RANGE_SHINGLES, PACK_SHINGLES, PACK_SETS, REGION_POINTS = 1 << 20, 2 << 20, 60_000, 20_000
 #: Bytes of points outside that are compared with a ball at once.
 BLOCK_BYTES = 32 << 20
 
@@ -408,3 +408,17 @@ def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+  WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""

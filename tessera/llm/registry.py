@@ -15,4 +15,9 @@ QUERIES = {
     "op10_token_files": wavelet.op10_token_files,
 }
 
-ORACLES = {"op2_decontamination": decontamination.OP2_SQL, "op8_url_filter": url_filter.OP8_SQL}
+ORACLES = {
+    "op1_jaccard_join": jaccard_join.OP1_SQL,
+    "op2_decontamination": decontamination.OP2_SQL,
+    "op5_sharding": sharding.OP5_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
+}

@@ -104,3 +104,21 @@ def shard_rows(
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
+
+
+#: The checksum bit by bit over the bytes, the jumps with wide integers; slots as for a table of one block.
+OP5_SQL = """
+WITH RECURSIVE t AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS k))),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, length(h) // 2 AS n, list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i:
+  (ascii(h[2 * i + 1]) - CASE WHEN h[2 * i + 1] > '9' THEN 55 ELSE 48 END) * 16 + ascii(h[2 * i + 2]) - CASE WHEN h[2 * i + 2] > '9' THEN 55 ELSE 48 END)) AS b FROM h),
+z AS (SELECT doc_id, n + 1 AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+j(doc_id, n, k, b, j) AS (SELECT doc_id, n, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END, -1::BIGINT, 0::BIGINT
+    FROM documents, (VALUES (16), (17)) AS v(n)
+  UNION ALL SELECT doc_id, n, k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT
+    FROM (SELECT doc_id, n, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k, j FROM j WHERE j < n)),
+g AS (SELECT doc_id, max(b) FILTER (WHERE n = 16) AS shard, max(b) FILTER (WHERE n = 17) AS grown_shard FROM j WHERE j >= n GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM z JOIN g USING (doc_id)
+"""
