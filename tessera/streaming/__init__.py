@@ -1 +1 @@
-"""Streaming: the batch operators need none; prices can be kept up to date from a stream through foreachBatch."""
+"""All operators are batch; a stream can feed the price table through foreachBatch and ``save_prices``."""
