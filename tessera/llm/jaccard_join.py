@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrow_text
@@ -73,6 +72,7 @@ def set_keys(documents: DataFrame, key: str = "doc_id", text: str = "text", size
     return fields(documents, key=key, text=text).mapInArrow(run, f"key {kind}, n_shingles bigint, set binary")
 
 
+MANY = 65535
 _PACKED = "part int, home bigint, roster boolean, a binary, b binary, c binary"
 
 
@@ -84,23 +84,32 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack_shingles(documents: DataFrame, text: str, size: int, bits: int) -> DataFrame:
-    """Shingles as packed arrays by hash range: a = 48 bits of each hash, b = row in its home. A home is a run of sets
-    of one task, told by the task's number; its roster has the sets' names and sizes. Equal sets of a home are one."""
+    """Shingles as packed arrays by hash range: a = 48 bits of each hash, b = its set's place in the home. A home is a
+    run of sets of one task, told by the task's number; its roster has the sets' names and sizes. Equal sets of a home
+    are one. A shingle that several sets of a home have leaves the home once, marked MANY and with their number in c;
+    which sets have it stays in the roster's c. So a range gets at most one entry of a shingle from a home, however
+    common the shingle is."""
 
     def packed(sets: dict[bytes, np.ndarray], home: int) -> pa.RecordBatch:
         lengths = np.array([len(s) for s in sets.values()])
         every = np.concatenate(list(sets.values()))
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
-        part = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-        order = np.argsort(part, kind="stable")
-        owner, bounds = owner[order], np.searchsorted(part[order], np.arange((1 << bits) + 1))
-        low = ((every << np.uint64(bits)) >> np.uint64(16))[order]
+        order = np.argsort(every)
+        every, owner = every[order], owner[order]
+        heads = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        runs = np.diff(np.r_[heads, len(every)])
+        many = runs > 1
+        own = np.where(many, MANY, owner[heads]).astype(np.uint16)
+        times = np.minimum(runs, 65535).astype(np.uint16)
+        low = (every[heads] << np.uint64(bits)) >> np.uint64(16)
+        bounds = np.searchsorted(every[heads] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         rows = []
         for p in np.flatnonzero(np.diff(bounds)).tolist():
-            x = low[bounds[p] : bounds[p + 1]]
-            six = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            rows.append((p, home, False, six, owner[bounds[p] : bounds[p + 1]].tobytes(), None))
-        rows.append((home % (1 << bits), home, True, b"".join(sets), lengths.astype("<i8").tobytes(), None))
+            x = slice(bounds[p], bounds[p + 1])
+            rows.append((p, home, False, _to_six(low[x]), own[x].tobytes(), times[x][many[x]].tobytes()))
+        held = np.repeat(many, runs)
+        repeats = every[held].tobytes() + owner[held].tobytes()
+        rows.append((home % (1 << bits), home, True, b"".join(sets), lengths.astype("<i8").tobytes(), repeats))
         return _packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +129,10 @@ def _pack_shingles(documents: DataFrame, text: str, size: int, bits: int) -> Dat
     return documents.select(text).mapInArrow(run, _PACKED)
 
 
+def _to_six(low: np.ndarray) -> bytes:
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
 def _six(blob: bytes) -> np.ndarray:
     wide = np.zeros((len(blob) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
@@ -130,16 +143,18 @@ def _shared(group: pa.Table) -> pa.Table:
     """One range's shingles -> those found in two sets or more, per home, with c = the number of sets."""
     every = group.to_pylist()
     rows = [r for r in every if not r["roster"]]
-    out = [(r["part"], r["home"], True, r["a"], r["b"], None) for r in every if r["roster"]]
+    out = [(r["part"], r["home"], True, r["a"], r["b"], r["c"]) for r in every if r["roster"]]
     if rows:
         low = np.concatenate([_six(r["a"]) for r in rows])
         owner = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in rows])
         place = np.repeat(np.arange(len(rows)), [len(r["b"]) // 2 for r in rows])
+        times = np.ones(len(low), np.int64)
+        times[owner == MANY] = np.concatenate([np.frombuffer(r["c"], np.uint16) for r in rows])
         order = np.argsort(low)
         ordered = low[order]
         heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         runs = np.diff(np.r_[heads, len(ordered)])
-        found = np.minimum(np.repeat(runs, runs), 65535).astype(np.uint16)
+        found = np.minimum(np.repeat(np.add.reduceat(times[order], heads), runs), 65535).astype(np.uint16)
         keep = found >= 2
         order, found, ordered = order[keep], found[keep], ordered[keep]
         by_home = np.argsort(place[order], kind="stable")
@@ -148,17 +163,17 @@ def _shared(group: pa.Table) -> pa.Table:
         for k, r in enumerate(rows):
             a, b = bounds[k], bounds[k + 1]
             if b > a:
-                six = ordered[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                out.append((r["part"], r["home"], False, six, owner[order[a:b]].tobytes(), found[a:b].tobytes()))
+                out.append((r["part"], r["home"], False, _to_six(ordered[a:b]), owner[order[a:b]].tobytes(), found[a:b].tobytes()))
     return pa.Table.from_batches([_packed(out)])
 
 
 _POINTS = "home bigint, set binary, n bigint, ids binary, border array<bigint>"
 
 
-def _identity(low: np.ndarray, part: int, bits: int) -> np.ndarray:
+def _identity(low: np.ndarray, part: int | np.ndarray, bits: int) -> np.ndarray:
     """The 64 bits (or as many as are known) of shingles of a range."""
-    return low | np.uint64(part << 48) if bits <= 16 else low >> np.uint64(bits - 16) | np.uint64(part << (64 - bits))
+    part = np.asarray(part).astype(np.uint64)
+    return low | part << np.uint64(48) if bits <= 16 else low >> np.uint64(bits - 16) | part << np.uint64(64 - bits)
 
 
 def _points(group: pa.Table, bits: int) -> pa.Table:
@@ -175,6 +190,17 @@ def _points(group: pa.Table, bits: int) -> pa.Table:
         shingle = np.concatenate([_identity(_six(r["a"]), r["part"], bits) for r in rows])
         owner = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in rows])
         found = np.concatenate([np.frombuffer(r["c"], np.uint16) for r in rows])
+        many = owner == MANY
+        if many.any():  # the sets behind these are in the roster, by whole hashes
+            n_held = len(roster["c"]) // 10
+            whole = np.frombuffer(roster["c"], np.uint64, n_held)
+            held = _identity((whole << np.uint64(bits)) >> np.uint64(16), whole >> np.uint64(64 - bits), bits)
+            names_of, times_of = shingle[many], found[many]
+            by_name = np.argsort(names_of)
+            times_held = times_of[by_name][np.searchsorted(names_of[by_name], held)]
+            shingle = np.concatenate([shingle[~many], held])
+            owner = np.concatenate([owner[~many], np.frombuffer(roster["c"], np.uint16, n_held, 8 * n_held)])
+            found = np.concatenate([found[~many], times_held])
         order = np.lexsort((shingle, found, owner))
         shingle, owner = shingle[order], owner[order]
         bounds = np.searchsorted(owner, np.arange(len(n) + 1))
@@ -340,9 +366,10 @@ def similar_sets(documents: DataFrame, total: int, text: str = "text", size: int
     # cells and regions go by 64-bit names of points: should two points ever share one, a region has both of them
     point = F.xxhash64("set").alias("point")
     cells = points.select(point, F.explode("border").alias("shingle"))
-    cell = W.partitionBy("shingle")
-    cells = cells.withColumns({"region": F.min("point").over(cell), "last": F.max("point").over(cell)})
-    members = cells.where(F.col("region") < F.col("last")).select("region", "point").distinct()
+    spans = cells.groupBy("shingle").agg(F.min("point").alias("region"), F.max("point").alias("last"))
+    spans = written(spans.where("region < last").select("shingle", "region"), "cells")
+    # a plain join of two exchanges: AQE splits a cell that a common shingle makes large
+    members = cells.join(spans, "shingle").select("region", "point").distinct()
     # a set that several homes have is taken from one of them
     chosen = points.groupBy("set").agg(F.min("home").alias("home")).withColumn("point", F.xxhash64("set"))
     members = written(members.join(chosen, "point").select("region", "set", "home"), "members")
