@@ -62,6 +62,17 @@ def test_ingest(ingested):
     assert data.members().count() == 2 and pit.load_latest_filed(facts, "AA").first()["last_filed"] == D("2025-03-01")
 
 
+def test_stored_facts_by_the_public_readers(ingested):
+    from tessera import data
+
+    db = ingested[2]
+    assert data.load_fundamentals("AA", "net_income", period_months=3, db=db).count() == 5
+    assert data.load_fundamentals_pit("2024-08-01", "AA", "net_income", period_months=3, db=db).first()["value"] == 150
+    assert data.load_fundamentals_panel(["2024-08-01"], ["aa", "b-b"], "net_income", period_months=3, db=db).count() == 2
+    assert [r["value"] for r in data.load_fundamentals_ttm(["2025-02-01"], fields="net_income", db=db).collect()] == [600, 600]
+    assert data.load_latest_filed(db=db).count() == 2
+
+
 def test_gaps_in_the_sources(spark, ingested):
     root, _, _, _, _ = ingested
     members = spark.createDataFrame([("AA", "A", "1"), ("CC", "C", "3"), ("DD", "D", None)], "ticker string, name string, cik string")
