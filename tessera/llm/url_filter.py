@@ -68,15 +68,17 @@ def judge_urls(
     )
     if not shapes:
         return rows.select(F.col("key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.split("host", r"\.")
-    expressions = [
-        F.when(
-            (F.size(labels) >= n) & (F.length("path") >= m),
-            F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring("path", 1, m)),
-        )
-        for n, m in shapes
-    ]
-    expanded = rows.withColumn("expression", F.explode_outer(F.array_compact(F.array(*expressions))))
+    # one literal array of shapes, so that the plan doesn't grow with the rules
+    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in shapes])
+
+    def expression(shape: Column) -> Column:
+        end = F.array_join(F.slice("labels", -shape["n"], shape["n"]), ".")
+        fits = (F.size("labels") >= shape["n"]) & (F.length("path") >= shape["m"])
+        return F.when(fits, F.concat(end, F.substr("path", F.lit(1), shape["m"])))
+
+    rows = rows.withColumn("labels", F.split("host", r"\."))
+    found = F.explode_outer(F.array_compact(F.transform(known, expression)))
+    expanded = rows.select("row", "key", "host", "path", found.alias("expression"))
     expanded = expanded.withColumn("full", F.sha2("expression", 256)).withColumn(
         "prefix", F.substring("full", 1, PREFIX_DIGITS)
     )

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir.
 
-    The setting is read from the session. Only where it is unset (unit tests, a laptop) a local temporary
+    The setting is read from the session, else from the context. Only where both are unset (unit tests, a laptop) a local temporary
     folder is created and recorded in the session, since then driver and executors are one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")

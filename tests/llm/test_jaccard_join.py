@@ -70,6 +70,13 @@ def test_links_chain_through_texts_that_do_not_link(documents):
     assert sorted(tuple(r) for r in jaccard_join.jaccard_components(documents(rows)).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("shingles", [0.02, 40])
+def test_ranges_of_any_width(documents, shingles, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RANGE_SHINGLES", shingles)  # 18 to 24 bits, and some dozens of ranges
+    rows = corpus(8, 40)
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(documents(rows)).collect()) == brute(rows)
+
+
 def test_edges(edge):
     found = sorted((tuple(r) for r in jaccard_join.jaccard_components(edge).collect()), key=str)
     by_key = {}
