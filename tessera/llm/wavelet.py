@@ -1,4 +1,4 @@
-"""Token ids in wavelet matrix files (Claude and Navarro, 2012), one compressed file per shard.
+"""Token ids in wavelet matrix files (SPIRE 2012), one compressed file per shard.
 
 A file holds the ids of a run of documents in ascending key order as bit-planes, most significant bit first; each
 plane is stably sorted by the bits above it. With ranks stored for every 65,536 bits, one file answers: which token
@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
