@@ -109,7 +109,8 @@ def _pack_shingles(documents: DataFrame, text: str, size: int, bits: int) -> Dat
             rows.append((p, home, False, _to_six(low[x]), own[x].tobytes(), times[x][many[x]].tobytes()))
         held = np.repeat(many, runs)
         repeats = every[held].tobytes() + owner[held].tobytes()
-        rows.append((home % (1 << bits), home, True, b"".join(sets), lengths.astype("<i8").tobytes(), repeats))
+        spread = ((home >> 32) * 2654435761 + home) % (1 << bits)  # rosters travel with the ranges, evenly
+        rows.append((spread, home, True, b"".join(sets), lengths.astype("<i8").tobytes(), repeats))
         return _packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
