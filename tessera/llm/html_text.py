@@ -59,6 +59,8 @@ AWAY = set(
     "contentinfo complementary dialog masthead hidden".split()
 )
 AWAY_PARTS = re.compile(r"comment|advert|cookie|sidebar|navbar|sponsor|newsletter|breadcrumb|disqus|nav$|menu$|footer$|ads$")
+#: A class with such a word tells about a page's layout, as in has-sidebar.
+ABOUT = {"has", "no", "with", "without"}
 #: A container takes over from the one around it with this share of its text.
 SHARE = 0.8
 
@@ -70,8 +72,11 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
     for name, *values in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), html.unescape("".join(values)))
     names = sorted({re.sub(r"\d+", "0", c.lower()) for c in found.get("class", "").split()})
-    words = set(re.split(r"[^a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
+    named = [re.split(r"[^a-z]+", c) for c in " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()]
+    words = {w for ws in named if not ABOUT & set(ws) for w in ws}
     away = bool(words & AWAY) or any(AWAY_PARTS.search(w) for w in words)
+    if tag == "article":  # readers' comments can be articles, nothing else that isn't the text
+        away = any(re.match("comment|repl", w) for w in words)
     away |= "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()))
     if tag in ("html", "body", "main"):

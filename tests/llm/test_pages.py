@@ -88,6 +88,7 @@ def test_an_article_and_nothing_else():
         ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\ntwo\nx\ny"),
         ("<article><p>a<br>b</p>tail &nbsp; &#233; &eacute; &bogus;</article>", "a b\ntail é é &bogus;"),
         ("<article><p>x<script>never closed", "x"),
+        ("<div class='content with-sidebar'><article class='post tag-cookies'><p>kept</p></article><article class=comment>no</article></div>", "kept"),
         ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
         ("<div>" * 3000 + "deep" + "</div>" * 10, "deep"),
         ("<article><p title='a>b'>quoted</p><p class=\"x>open</article>", "quoted"),
