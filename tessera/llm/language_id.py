@@ -165,15 +165,19 @@ LEAST_SCORE = 0.1
 def in_known_language(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
     """The rows whose text is in a learned language: not ``und`` and with a score of at least ``least``.
 
-    All columns are kept as they are, whatever their names; the profiles are learned from the rows themselves.
+    Where no row has a language to learn from, every text with letters stays. All columns are kept as they are, whatever their names; the profiles are learned from the rows themselves.
     """
     profiles = learn(documents, key, text, lang)
     schema, at = documents.schema, documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t or "") for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            if profiles.languages:
+                kept = [name != UNKNOWN and score >= least for name, score in map(profiles.predict, texts)]
+            else:
+                kept = [len(ngrams(t)[0]) > 0 for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return documents.mapInArrow(run, schema)
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm_rows import EDGE
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, quality, sharding, workspace
 from tessera.llm.arrow_text import flat
@@ -173,6 +174,8 @@ def test_language_edges(edge):
     assert found.count() == len(EDGE) and found.where("score < 0 or score > 1").count() == 0
     kept = language_id.in_known_language(edge)
     assert kept.columns == edge.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 5, 6, 7, 7, 8, 9, 10, 12]
+    none = edge.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] or 0 for r in language_id.in_known_language(none).collect()) == [0, 4, 5, 6, 7, 7, 8, 9, 10, 12]
     assert language_id.predict(edge.limit(0), language_id.learn(edge.limit(0))).count() == 0
 
 
