@@ -107,3 +107,22 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(900, 901), (5, 5), (None, 3)], "a bigint, b bigint")
     found = {r["node"]: r["component"] for r in components(links).collect()}
     assert all(found[k] == 0 for k in range(n)) and found[900] == found[901] == 900
+
+
+def test_a_large_region_whose_pivots_are_not_within_reach_of_themselves(documents, monkeypatch):
+    """80 of 100 shingles are shared: enough to be a point, too few to link to the pivot, even for the pivot itself."""
+    tail = lambda k: [f"t{k}_{i}" for i in range(20)]
+    common = [f"c{i}" for i in range(84)]
+    rows = [(k, " ".join(common + tail(k))) for k in range(18)]
+    rows += [(50, " ".join(common + tail(50))), (51, " ".join(common + tail(50) + ["end"]))]
+    calls, split = [], jaccard_join._split_large
+
+    def counted(points):
+        calls.append(1)
+        assert len(calls) <= len(rows), "the same points are split again and again"
+        return split(points)
+
+    monkeypatch.setattr(jaccard_join, "_split_large", counted)
+    found = jaccard_join.jaccard_components(documents(rows), region_points=15)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+    assert calls
