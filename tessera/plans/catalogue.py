@@ -445,7 +445,10 @@ YTD_SQL = """y AS (SELECT 'T' || lpad((o_custkey % 8)::VARCHAR, 2, '0') AS ticke
 
 
 def _year_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _table(spark, sf_dir, "orders").where("o_custkey % 50 = 1")
+    return _to_date(spark, sf_dir, _table(spark, sf_dir, "orders").where("o_custkey % 50 = 1"))
+
+
+def _to_date(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
     rows = facts(spark, sf_dir).join(
         o.select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("accn"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("day")), "accn"
     )
@@ -477,6 +480,25 @@ def _derive_quarters(spark, sf_dir):
     return rounded(filings.derive_quarters(_year_to_date(spark, sf_dir)).select(*_QUARTER.split(", ")), "value", digits=2)
 
 
+#: As YTD_SQL, of all orders; eight customers are a company, so that companies stay as small as the table grows.
+WHOLE_YTD_SQL = """y AS (SELECT 'T' || lpad((o_custkey // 8)::VARCHAR, 10, '0') AS ticker, lpad((o_custkey // 8)::VARCHAR, 10, '0') AS cik,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'revenue' ELSE 'net_income' END AS field, date_trunc('year', o_orderdate)::DATE AS period_start,
+  (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end, (quarter(o_orderdate) * 3)::BIGINT AS period_months,
+  'c' || (o_orderkey % 3) AS concept, lpad(o_orderkey::VARCHAR, 10, '0') AS accn,
+  (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE + (o_orderkey % 120)::INT AS filed, round(o_totalprice::DOUBLE, 2) AS value
+  FROM orders)"""
+
+
+@query("derive_quarters_whole", ORACLES["derive_quarters"].replace(YTD_SQL, WHOLE_YTD_SQL))
+def _derive_quarters_whole(spark, sf_dir):
+    """Quarters of every order, where derive_quarters reads the orders of one customer in fifty."""
+    o = _table(spark, sf_dir, "orders")
+    company = o.select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("accn"), F.lpad(F.expr("o_custkey div 8").cast("string"), 10, "0").alias("company"))
+    rows = _to_date(spark, sf_dir, o).join(company, "accn")
+    rows = rows.withColumns({"ticker": F.concat(F.lit("T"), F.col("company")), "cik": F.col("company")}).drop("company")
+    return rounded(filings.derive_quarters(rows).select(*_QUARTER.split(", ")), "value", digits=2)
+
+
 @query(
     "standardize_facts",
     """WITH r AS (SELECT 'T' || (o_custkey % 8) AS ticker, lpad((o_custkey % 8)::VARCHAR, 10, '0') AS cik,

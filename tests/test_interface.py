@@ -68,3 +68,21 @@ def test_queries_match_their_oracles(spark, tmp_path, name):
     got = sorted((tuple(x[c] for c in columns) for x in found.collect()), key=str)
     want = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall(), key=str)
     assert len(got) > 50 and [tuple(map(str, x)) for x in got] == [tuple(map(str, x)) for x in want]
+
+
+def test_quarters_are_derived_from_every_order(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    import datetime as dt
+
+    start = dt.date(1995, 1, 2)
+    orders = [(k, k * 7 % 400, 900.0 + k % 1000, start + dt.timedelta(days=k * 11 % 1400)) for k in range(4000)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    found = catalogue.QUERIES["derive_quarters_whole"](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    rows = found.collect()
+    assert {r["accn"] for r in rows if not r["derived"]} == {f"{k:010d}" for k in range(4000)}
+    got = sorted((tuple(map(str, (r[c] for c in columns))) for r in rows))
+    want = sorted(tuple(map(str, x)) for x in con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES['derive_quarters_whole']})").fetchall())
+    assert sum(r["derived"] for r in rows) > 50 and got == want
