@@ -410,19 +410,29 @@ def jaccard_components(
     Texts are read twice and never shuffled. Equal sets meet as one row per task and set, so large groups of copies
     are counted before they move. Shingles are compared by 64-bit hashes, points by 55 bits of those.
     """
+    found = _grouped(documents, key, text, size, region_points)
+    return found.select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def _grouped(documents: DataFrame, key: str, text: str, size: int, region_points: int) -> DataFrame:
+    """(key, n_shingles, set, component_id, stays): stays is true of rows without shingles, and of those with the least
+    key and, under that key, the least set of their component, which are repeated rows where they are several."""
     rows = written(set_keys(documents, key, text, size), "sets")
-    classes = written(rows.where("set is not null").groupBy("set").agg(F.min("key").alias("least"), F.max("n_shingles").alias("n")), "classes")
+    # nodes are sets, in order of their least key with nulls last: the least node of a component has its least key
+    least = F.min("key").alias("least")
+    classes = rows.where("set is not null").groupBy("set").agg(least).select("set", F.struct(F.isnull("least").alias("none"), "least", "set").alias("node"))
+    classes = written(classes, "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    links = similar_sets(documents, total, text, size, region_points)
-    named = written(links, "set_links")
-    names = classes.select("set", "least")
-    ends = named.join(names.select(F.col("set").alias("a"), F.col("least").alias("x")), "a")
-    ends = ends.join(names.select(F.col("set").alias("b"), F.col("least").alias("y")), "b")
+    named = written(similar_sets(documents, total, text, size, region_points), "set_links")
+    ends = named.join(classes.select(F.col("set").alias("a"), F.col("node").alias("x")), "a")
+    ends = ends.join(classes.select(F.col("set").alias("b"), F.col("node").alias("y")), "b")
     found = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    least = names.join(found, names["least"] == found["node"], "left").select("set", F.coalesce("component", "least").alias("component_id"))
-    least = written(least, "component_of_set")
-    alone = F.coalesce("component_id", "key")
-    return rows.join(least, "set", "left").select(F.col("key").alias(key), "n_shingles", alone.alias("component_id"))
+    found = found.select(F.col("node.set").alias("set"), F.col("component").alias("first"))
+    least = classes.join(found, "set", "left").select("set", F.coalesce("first", "node").alias("first"))
+    least = least.select("set", F.col("first.least").alias("component_id"), (F.col("first.set") == F.col("set")).alias("first"))
+    joined = rows.join(written(least, "component_of_set"), "set", "left")
+    stays = F.isnull("set") | (F.col("first") & F.col("key").eqNullSafe(F.col("component_id")))
+    return joined.select("key", "n_shingles", "set", F.coalesce("component_id", "key").alias("component_id"), stays.alias("stays"))
 
 
 def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -126,3 +126,21 @@ def test_a_large_region_whose_pivots_are_not_within_reach_of_themselves(document
     found = jaccard_join.jaccard_components(documents(rows), region_points=15)
     assert sorted(tuple(r) for r in found.collect()) == brute(rows)
     assert calls
+
+
+def test_documents_meet_through_texts_without_an_id(documents):
+    words = [f"v{k}" for k in range(104)]
+    texts = [" ".join(words + [f"{side}{k}" for k in range(n)]) for side, n in (("a", 24), ("a", 0), ("b", 24))]
+    for ids in ((1, None, 2), (None, None, 2)):
+        rows = list(zip(ids, texts, strict=True)) + [(9, "alone in its group as far as anyone knows"), (None, "no id and alone in its group too")]
+        found = sorted((tuple(r) for r in jaccard_join.jaccard_components(documents(rows)).collect()), key=str)
+        named = min(k for k in ids if k is not None)
+        assert [c for _, n, c in found if n >= 100] == [named] * 3
+        assert [c for _, n, c in found if n < 100] == [9, None]
+
+
+def test_a_repeated_id_joins_no_texts(documents):
+    rows = corpus(4, 60)
+    rows = [(k % 7 + 1, t) if k > 7 else (k, t) for k, t in rows]
+    found = jaccard_join.jaccard_components(documents(rows))
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows)
