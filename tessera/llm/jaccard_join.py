@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import arrow_text
 from .components import components
 from .words import shingle_set, windows, word_hashes
-from .workspace import fields, table, without, written
+from .workspace import bound_batches, fields, table, without, written
 
 SHINGLE = 5
 #: Similarity of linked sets at least, as (up, down): 100 * shared >= 75 * union.
@@ -435,14 +436,44 @@ def _grouped(documents: DataFrame, key: str, text: str, size: int, region_points
     return joined.select("key", "n_shingles", "set", F.coalesce("component_id", "key").alias("component_id"), stays.alias("stays"))
 
 
-def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The row with the least key of every group, with all columns. Of rows that repeat such a key one stays; rows
-    with a null key stay where they are alone in their group."""
-    found = written(jaccard_components(documents, key, text, **options), "groups")
-    name = found.columns[0]
-    kept = without(documents, key, found.where(~F.col(name).eqNullSafe(F.col("component_id"))).select(name))
-    twice = found.where(F.col(name) == F.col("component_id")).groupBy(name).count().where("count > 1")
-    return kept.dropDuplicates([key]) if twice.limit(1).count() else kept
+def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, region_points: int = REGION_POINTS) -> DataFrame:
+    """The row with the least key of every group, nulls last, with all columns. Of rows that repeat the key in one group
+    one stays; a text without shingles is alone in its group, and all its rows stay.
+
+    Rows go by key where all rows of a key go. Only those keys of which some rows stay and some go, as null or a
+    repeated one may, have their rows numbered, written and told apart by their sets.
+    """
+    found = written(_grouped(documents, key, text, size, region_points), "groups")
+    kinds = found.groupBy("key", "set", "stays").agg(F.count("*").alias("n"))
+    left = F.when(F.isnull("set"), F.col("n")).when(F.col("stays"), F.lit(1)).otherwise(F.lit(0))
+    keys = written(kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(left).alias("left")), "keys")
+    gone, mixed = keys.where("left = 0").select("key"), keys.where("left > 0 and left < n").select("key")
+    if not mixed.limit(1).count():
+        return without(documents, key, gone)
+    kept = without(documents, key, gone.unionByName(mixed))
+    there = mixed.where("key is not null").select(F.col("key").alias("__mixed"))
+    some = documents.join(there, documents[key] == there["__mixed"], "left_semi")
+    if mixed.where("key is null").limit(1).count():
+        some = some.unionByName(documents.where(documents[key].isNull()))
+    some = written(_with_sets(some, text, size).withColumn("__row", F.monotonically_increasing_id()), "some")
+    stay = found.where("stays and set is not null").select(F.col("key").alias("__key"), F.col("set").alias("__first")).distinct()
+    rows = some.where("__set is not null").select(some[key].alias("__own"), "__set", "__row")
+    first = rows.join(stay, (F.col("__set") == F.col("__first")) & F.col("__own").eqNullSafe(F.col("__key"))).groupBy("__set").agg(F.min("__row").alias("__row"))
+    some = without(some, "__row", rows.select("__row").join(first.select("__row"), "__row", "left_anti"))
+    return kept.unionByName(some.drop("__set", "__row"))
+
+
+def _with_sets(documents: DataFrame, text: str, size: int) -> DataFrame:
+    """All columns and __set, the name of each text's shingle set."""
+    at = documents.columns.index(text)
+    bound_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([set_key(s) for s in shingle_sets(batch.column(at), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "__set"])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("__set", BinaryType())]))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,3 +144,31 @@ def test_a_repeated_id_joins_no_texts(documents):
     rows = [(k % 7 + 1, t) if k > 7 else (k, t) for k, t in rows]
     found = jaccard_join.jaccard_components(documents(rows))
     assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+
+
+def least_of_groups(rows):
+    """The key of the row that stays of each group of texts: the least one, nulls last."""
+    least = {}
+    for i, _, group in brute([(i, t) for i, (_, t) in enumerate(rows)]):
+        key = rows[i][0]
+        least[group] = min(least.get(group, (True, 0)), (key is None, key or 0))
+    return sorted(least.values())
+
+
+def test_one_per_group_where_ids_are_null(documents):
+    rows = [(1, "one two three four five six"), (None, "one two three four five six"), (None, "alone a b c d e f g"), (None, "twice h i j k l"), (None, "twice h i j k l")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_per_group(documents([*rows, (None, ""), (None, None)])).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[3], (None, ""), (None, None)], key=str)
+
+
+def test_one_per_group_where_ids_repeat(documents):
+    rows = [(7, "one two three four five six"), (7, "quite another text with that same id"), (8, "one two three four five six"), (8, "a third text by itself here"), (7, "one two three four five six")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_per_group(documents(rows)).collect()]
+    assert sorted(kept) == sorted([rows[0], rows[1], rows[3]])
+
+
+def test_one_per_group_of_many_null_and_repeated_ids(documents):
+    r = random.Random(6)
+    rows = [(r.choice([None, k % 9, k]), t) for k, t in corpus(5, 90)]
+    kept = [(x["doc_id"] is None, x["doc_id"] or 0) for x in jaccard_join.one_per_group(documents(rows)).collect()]
+    assert sorted(kept) == least_of_groups(rows)
