@@ -158,8 +158,9 @@ def predict(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text:
     return out.withColumnRenamed("key", key)
 
 
-#: Texts that resemble no learned language this much are rejected by ``in_known_language``.
-LEAST_SCORE = 0.1
+#: Texts that resemble no learned language this much are rejected by ``in_known_language``. Of held-out labelled documents
+#: the lowest score is 0.47, cut to their first word 0.33; random letters and unlearned Latin-script languages stay below 0.3.
+LEAST_SCORE = 0.3
 
 
 def in_known_language(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:

@@ -265,3 +265,15 @@ def test_quality_without_labels(spark, edge):
     found = quality.quality(edge, field)
     assert Counter((r["doc_id"], r["n_words"], r["n_dup_lines"]) for r in found.collect()) == Counter((k, brute_counts(t)[0], brute_counts(t)[3]) for k, t in EDGE)
     assert quality.quality(edge.limit(0), field).count() == 0
+
+
+def test_texts_in_no_learned_language_are_rejected(documents):
+    r = random.Random(2)
+    english = "the people of this town were all born free and equal in dignity and rights they have reason and should act towards one another in that spirit".split()
+    known = {k: " ".join(r.choice(english) for _ in range(30)) for k in range(60)}
+    known[60] = "the"
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(300))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    rows = documents([*known.items(), (100, noise), (101, finnish), (102, "Все люди рождаются свободными"), (103, "12 34")])
+    rows = rows.withColumn("lang", F.when(F.col("doc_id") < 60, "en"))
+    assert {x["doc_id"] for x in language_id.in_known_language(rows).collect()} == set(known)
