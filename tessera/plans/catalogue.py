@@ -332,6 +332,17 @@ def _load_constituents(spark, sf_dir):
     return store.select_prices(found, ["1", "2", "3", "4", "5"]).orderBy("ticker")
 
 
+@query("load_prices_whole", f"WITH {PRICE_SQL} SELECT date, ticker, close, adj_close FROM p")
+def _load_prices_whole(spark, sf_dir):
+    return store.select_prices(prices(spark, sf_dir)).orderBy("ticker", "date")
+
+
+@query("load_constituents_whole", "SELECT s_suppkey::VARCHAR AS ticker, s_name AS name FROM supplier")
+def _load_constituents_whole(spark, sf_dir):
+    found = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_name").alias("name"))
+    return store.select_prices(found).orderBy("ticker")
+
+
 _RAW = "ticker, field, period_end, period_months, filed, accn, value, derived"
 
 

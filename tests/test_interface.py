@@ -86,3 +86,21 @@ def test_quarters_are_derived_from_every_order(spark, tmp_path):
     got = sorted((tuple(map(str, (r[c] for c in columns))) for r in rows))
     want = sorted(tuple(map(str, x)) for x in con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES['derive_quarters_whole']})").fetchall())
     assert sum(r["derived"] for r in rows) > 50 and got == want
+
+
+@pytest.mark.parametrize("name", ["load_prices_whole", "load_constituents_whole"])
+def test_reads_without_a_filter_return_every_row(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    import datetime as dt
+
+    lines = [(k, k % 40 + 1, 900.0 + k % 777, dt.date(1995, 1, 2) + dt.timedelta(days=k % 700)) for k in range(2000)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_extendedprice double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"S{k}") for k in range(1, 41)], "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    got = sorted(tuple(str(x[c]) for c in columns) for x in found.collect())
+    want = sorted(tuple(map(str, x)) for x in con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall())
+    assert got == want and {x["ticker"] for x in found.collect()} == {str(k) for k in range(1, 41)}
