@@ -219,10 +219,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' ids as unsigned 32-bit numbers with ``end_id`` after each text, and where each text then ends."""
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int, dtype: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The texts' ids as unsigned numbers with ``end_id`` after each text, and where each text then ends."""
     ends = np.cumsum(counts + 1)
-    out = np.full(len(ids) + len(counts), end_id, "<u4")
+    out = np.full(len(ids) + len(counts), end_id, dtype)
     keep = np.ones(len(out), bool)
     keep[ends - 1] = False
     out[keep] = ids

@@ -5,7 +5,7 @@ plane is stably sorted by the bits above it. With ranks stored for every 65,536
 stands at a place, how often a token occurs before a place, and where its k-th occurrence is.
 
 Layout, little-endian: 8 bytes magic, 8 bytes header length, header (JSON), then zstd blocks in header order: keys
-(int64), ends of documents (int64), the planes' bits (packed, first bit highest) and the planes' ranks (int64).
+(int64; the first null_keys of the header are null), ends of documents (int64), the planes' bits (packed, first bit highest) and the planes' ranks (int64).
 """
 
 from __future__ import annotations
@@ -131,41 +131,51 @@ class WaveletMatrix:
         return out
 
 
-def to_bytes(keys: np.ndarray, ends: np.ndarray, matrix: WaveletMatrix) -> bytes:
+def to_bytes(keys: np.ndarray, ends: np.ndarray, matrix: WaveletMatrix, null_keys: int = 0) -> bytes:
+    """The file's bytes; the first ``null_keys`` documents have no key."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     raw = [keys.astype("<i8"), ends.astype("<i8"), *matrix.planes, *[r.astype("<i8") for r in matrix.ranks]]
-    blocks = [pack(x.tobytes()) for x in raw]
+    blocks = [pack(x) for x in raw]
+    crc = 0
+    for block in blocks:
+        crc = zlib.crc32(block, crc)
     header = {
         "tokens": matrix.n,
         "documents": len(keys),
+        "null_keys": null_keys,
         "zeros": matrix.zeros,
         "blocks": [len(b) for b in blocks],
-        "crc": zlib.crc32(b"".join(blocks)),
+        "crc": crc,
     }
     head = json.dumps(header).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *blocks])
 
 
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
+    """(keys, ends, matrix); keys are a masked array where some are null."""
     import zstandard
 
     if data[:8] != MAGIC:
         raise ValueError("not a wavelet matrix file")
     size = int.from_bytes(data[8:16], "little")
     head, at = json.loads(data[16 : 16 + size]), 16 + size
-    if zlib.crc32(data[at:]) != head["crc"]:
+    rest = memoryview(data)
+    if zlib.crc32(rest[at:]) != head["crc"]:
         raise ValueError("damaged wavelet matrix file")
     unpack, raw = zstandard.ZstdDecompressor().decompress, []
     for length in head["blocks"]:
-        raw.append(unpack(data[at : at + length]))
+        raw.append(unpack(rest[at : at + length]))
         at += length
     levels = len(head["zeros"])
     planes = [np.frombuffer(x, np.uint8) for x in raw[2 : 2 + levels]]
     ranks = [np.frombuffer(x, "<i8") for x in raw[2 + levels :]]
     matrix = WaveletMatrix(head["tokens"], planes, head["zeros"], ranks)
-    return np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<i8"), matrix
+    keys = np.frombuffer(raw[0], "<i8")
+    if head["null_keys"]:
+        keys = np.ma.masked_array(keys, np.arange(len(keys)) < head["null_keys"])
+    return keys, np.frombuffer(raw[1], "<i8"), matrix
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -189,9 +199,40 @@ def read_file(uri: str) -> bytes:
         return stream.readall()
 
 
-#: UTF-8 bytes of text that one shard file takes, about.
-SHARD_BYTES = 8 << 20
-MANIFEST = "shard int, path string, first_key bigint, documents bigint, tokens bigint, bytes bigint"
+#: UTF-8 bytes of text that one file takes, about, and key ranges at most; a range may fill many files.
+SHARD_BYTES, RANGES = 16 << 20, 50_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 4 << 20
+#: Places for the files of one range in shard numbers, and manifest rows that one task writes.
+FILES_PER_RANGE, MANIFEST_ROWS = 1 << 32, 10_000
+MANIFEST = "shard bigint, path string, first_key bigint, documents bigint, tokens bigint, bytes bigint"
+
+
+class _Shard:
+    """Documents that go into one file."""
+
+    def __init__(self):
+        self.keys, self.nulls, self.ids, self.lengths, self.bytes = [], 0, [], [], 0
+
+    def add(self, keys: pa.Array, ids: np.ndarray, lengths: np.ndarray, size: int) -> None:
+        self.nulls += keys.null_count
+        self.keys.append(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.ids.append(ids)
+        self.lengths.append(lengths)
+        self.bytes += size
+
+    def publish(self, number: int, folder: str) -> pa.RecordBatch:
+        keys, ends, ids = np.concatenate(self.keys), np.cumsum(np.concatenate(self.lengths)), np.concatenate(self.ids)
+        self.ids.clear()
+        data = to_bytes(keys, ends, WaveletMatrix.build(ids), self.nulls)
+        name = f"{folder}/shard-{number:016x}.wvm"
+        publish(name, data)
+        values = [number, name, None if self.nulls else int(keys[0]), len(keys), len(ids), len(data)]
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v], k) for v, k in zip(values, kinds, strict=True)],
+            names=["shard", "path", "first_key", "documents", "tokens", "bytes"],
+        )
 
 
 def write_token_files(
@@ -205,72 +246,71 @@ def write_token_files(
 ) -> DataFrame:
     """Encode whole texts, append ``end_id`` to each, and write files in ascending key order; returns the manifest.
 
-    Keys are whole numbers; a null key counts as the lowest one. A null text is empty. Rows are dealt to shards by
-    key ranges whose number follows the bytes of text, so each file has a bounded size (but for one very long text)
-    and no key's rows must meet. The manifest has one row per file: shard, path, first_key, documents, tokens, bytes.
+    Keys are whole numbers, null keys come first; a null text is empty. Rows are dealt to tasks by key ranges, rows of
+    one key by their texts' hashes and equal rows by their numbers, so no key's rows must meet. A task ends a file as
+    soon as it has ``shard_bytes`` of text, so a file is larger only by one slice of texts or one very long text,
+    however texts of different lengths lie. The manifest has one row per file: shard (its number in key order), path,
+    first_key, documents, tokens, bytes. An empty table has no files.
     """
     path = vocabulary or token_ids.vocabulary("byte_bpe_50k.json")
-    lowest = F.lit(-(1 << 63)).cast("bigint")
-    rows = fields(df, key=key, text=text).select(F.coalesce(F.col("key").cast("bigint"), lowest).alias("key"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    ranged = rows.repartitionByRange(shards, "key", F.xxhash64("text")).sortWithinPartitions("key", "text")
-    placed = ranged.select("key", "text", F.spark_partition_id().alias("shard"))
+    rows = fields(df, key=key, text=text).select(F.col("key").cast("bigint").alias("key"), "text")
+    total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    ranges = min(RANGES, max(1, math.ceil(total / shard_bytes)))
+    order = ["key", "hash", "row"]
+    rows = rows.select("key", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = ranged.select("key", "text", F.spark_partition_id().alias("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, keys, ids, lengths, shard = token_ids.encoder(path), [], [], [], None
+        tool, shard, number = token_ids.encoder(path), _Shard(), None
         for batch in batches:
-            if batch.num_rows:
-                shard = batch.column(2)[0].as_py()
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            found, counts = tool.encode(*arrow_text.flat(batch.column(1)))
-            flat, _ = token_ids.with_end(found, counts, end_id)
-            ids.append(flat.astype("<u2"))
-            lengths.append(counts + 1)
-        if shard is None:
-            return
-        key_array, end_array = np.concatenate(keys).astype(np.int64), np.cumsum(np.concatenate(lengths))
-        flat = np.concatenate(ids)
-        ids.clear()
-        n = len(flat)
-        data = to_bytes(key_array, end_array, WaveletMatrix.build(flat))
-        name = f"{folder}/shard-{shard:06d}.wvm"
-        publish(name, data)
-        values = [shard, name, int(key_array[0]), len(key_array), n, len(data)]
-        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v], k) for v, k in zip(values, kinds, strict=True)],
-            names=["shard", "path", "first_key", "documents", "tokens", "bytes"],
-        )
-
-    return written(placed.mapInArrow(run, MANIFEST), "manifest")
+            if number is None and batch.num_rows:
+                number = batch.column(2)[0].as_py() * FILES_PER_RANGE
+            data, offsets = arrow_text.flat(batch.column(1))
+            for a, b in arrow_text.slices(offsets, min(SLICE_BYTES, shard_bytes)):
+                found, counts = tool.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids, _ = token_ids.with_end(found, counts, end_id, "<u2")
+                shard.add(batch.column(0).slice(a, b - a), ids, counts + 1, int(offsets[b] - offsets[a]) + b - a)
+                if shard.bytes >= shard_bytes:
+                    yield shard.publish(number, folder)
+                    shard, number = _Shard(), number + 1
+        if shard.bytes:
+            yield shard.publish(number, folder)
+
+    # the rows go together before they are written: a file of its own for each would be a waste of many small files
+    manifest = placed.mapInArrow(run, MANIFEST).repartition(max(1, math.ceil(total / shard_bytes / MANIFEST_ROWS)))
+    return written(manifest, "manifest")
 
 
 def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document from the files alone: key, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before it over all files. The only window runs over the manifest,
-    which has one row per file.
+    ``start`` counts the ids of all documents before it over all files: those of the ranges before, whose sums the
+    only window over everything runs on (one row per range), and those of the files before in the range.
     """
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    files = manifest.select("shard", "path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    place = F.floor(F.col("shard") / F.lit(FILES_PER_RANGE)).alias("range")
+    sums = manifest.groupBy(place).agg(F.sum("tokens").alias("tokens"))
+    earlier = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("range", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
+    inside = W.partitionBy("range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    files = manifest.select(place, "shard", "path", "tokens").withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    files = files.join(before, "range").select("path", (F.col("before") + F.col("inside")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys, ends, matrix = from_bytes(read_file(path))
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                ids = memoryview(matrix.ids().astype("<u4").tobytes())
+                ids = memoryview(matrix.ids().astype("<u4")).cast("B")
                 crc = [zlib.crc32(ids[a * 4 : b * 4]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                    [pa.array(keys, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
                     names=["key", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = files.repartition(max(1, manifest.count()), "shard")
+    spread = files.repartition(min(RANGES, max(1, manifest.count())))
     found = spread.mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    null = F.when(F.col("key") != F.lit(-(1 << 63)).cast("bigint"), F.col("key"))
-    return found.select(null.alias(key), "start", "n_tokens", "ids_crc32")
+    return found.withColumnRenamed("key", key)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,17 @@ def test_damaged_files_are_refused():
         wavelet.from_bytes(data[:-1] + bytes([data[-1] ^ 1]))
     with pytest.raises(ValueError):
         wavelet.from_bytes(b"something else entirely")
+
+
+def test_token_files_are_bounded_by_bytes(spark, documents, tmp_path):
+    """Long texts that are neighbours, thousands of equal rows, the lowest key beside null ones."""
+    rows = [(k, "long text of words " * (500 if 100 <= k < 140 else 1)) for k in range(300)]
+    rows += [(150, "the same words")] * 3000 + [(None, "no key"), (None, None), (-(1 << 63), "lowest")]
+    manifest = wavelet.write_token_files(documents(rows).repartition(5), str(tmp_path / "files"), shard_bytes=20_000)
+    found = wavelet.read_token_files(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == sorted([k for k, _ in rows], key=lambda k: (k is not None, k or 0))
+    assert sum(r["n_tokens"] for r in found) == manifest.agg({"tokens": "sum"}).first()[0]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:], strict=False))
+    files = manifest.orderBy("shard").collect()
+    assert max(r["tokens"] for r in files) < 20_000 and len(files) > 20
+    assert files[0]["first_key"] is None and sum(r["documents"] for r in files) == len(rows)
