@@ -3,7 +3,8 @@
 DataFrame functions only. Test items are partitioned into classes by their number of shingles, doubling from class
 to class. Of an item with n shingles the sketch is its k smallest shingle hashes, where k = n - ceil(t * n) + 1 for
 the largest n of the class: if a document holds a share t of the item, at least one sketch hash is in the document,
-however long the document is. Documents that hit a sketch are candidates; a candidate counts if the item's whole
+however long the document is. The search joins documents with sketches alone; what it hits are candidates, pairs of a
+document and an item. Only the candidates' texts are looked at again, and a candidate counts if the item's whole
 shingle set is contained to the share t.
 """
 
@@ -13,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .workspace import fields, table, without
+from . import workspace
+from .workspace import fields, table, without, written
 
 SHINGLE, SHARE = 5, (3, 4)
-#: Item shingles up to this many (under 64 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_SHINGLES = 500_000
+#: Parts that a shingle's rows are spread over where a table of item shingles is too large for a broadcast.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -35,14 +37,25 @@ def shingle_hashes(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
 
 
 def item_sketches(items: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """(item, hash, n_item, in_sketch) for the distinct shingles of (item, text) rows."""
+    """(item, hash, n_item, size_class, in_sketch) for the distinct shingles of (item, text) rows; a class holds the
+    items with 2^c to 2^(c+1) - 1 shingles, and all its items have the same k."""
     up, down = share
     shingles = shingle_hashes(items, size, ["item"]).distinct()
     counted = shingles.withColumn("n_item", F.count("*").over(W.partitionBy("item")))
-    largest = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1).cast("bigint") - 1
+    counted = counted.withColumn("size_class", F.floor(F.log2("n_item")).cast("int"))
+    largest = F.pow(F.lit(2.0), F.col("size_class") + 1).cast("bigint") - 1
     k = largest - F.ceil(largest * up / down) + 1
     place = F.row_number().over(W.partitionBy("item").orderBy("hash"))
-    return counted.select("item", "hash", "n_item", (place <= k).alias("in_sketch"))
+    return counted.select("item", "hash", "n_item", "size_class", (place <= k).alias("in_sketch"))
+
+
+def _on_hash(shingles: DataFrame, items: DataFrame, spread: str) -> DataFrame:
+    """Document shingles and item shingles that are equal. Items are broadcast where their bytes allow it; else both
+    sides are shuffled, and the rows of a common shingle are dealt to several tasks by ``spread``."""
+    if workspace.small(items):
+        return shingles.join(F.broadcast(items), "hash")
+    salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return shingles.withColumn("salt", F.pmod(F.col(spread), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"]).drop("salt")
 
 
 def contained_items(
@@ -58,19 +71,23 @@ def contained_items(
 
     ``share`` is (up, down), 3/4 by default. Null and empty texts and items match nothing; an item of fewer words
     than ``size`` is found in texts that are the same words. Repeated documents are told one by one; a repeated item
-    id stands for all its texts together. Shingles are compared by 64-bit hashes. The documents' texts are read
-    once and never shuffled; only the hits are, as sets of at most one item's shingles each.
+    id stands for all its texts together. Shingles are compared by 64-bit hashes. Texts are read twice, the second time
+    only candidates are cut into shingles; they move only if there are too many candidates for a broadcast.
     """
     up, down = share
-    sketches = item_sketches(fields(benchmark, item=item, text=text), size, share)
-    n = sketches.limit(BROADCAST_SHINGLES + 1).count()
-    rows = fields(documents, key=key, text=text).withColumn("row", F.monotonically_increasing_id())
-    hits = shingle_hashes(rows, size, ["row", "key"]).join(F.broadcast(sketches) if n <= BROADCAST_SHINGLES else sketches, "hash")
-    found = hits.groupBy("row", "key", "item", "n_item").agg(
-        F.size(F.collect_set("hash")).cast("bigint").alias("n_shared"), F.max("in_sketch").alias("candidate")
-    )
-    kept = found.where(F.col("candidate") & (F.col("n_shared") * down >= F.col("n_item") * up))
-    return kept.select(
+    items = written(item_sketches(fields(benchmark, item=item, text=text), size, share), "item_shingles")
+    # rows are known by a hash of key and text: equal rows are the same candidate, and verified one by one
+    rows = fields(documents, key=key, text=text).withColumn("mark", F.xxhash64("key", "text"))
+    sketches = items.where("in_sketch").select("hash", "item")
+    pairs = _on_hash(shingle_hashes(rows, size, ["mark"]), sketches, "mark").select("mark", "item").distinct()
+    pairs = written(pairs, "candidates")
+    found = written(pairs.groupBy("mark").agg(F.collect_set("item").alias("items")), "candidate_documents")
+    found = F.broadcast(found) if workspace.small(pairs) else found
+    kept = rows.join(found, "mark").withColumn("row", F.monotonically_increasing_id())
+    hits = _on_hash(shingle_hashes(kept, size, ["row", "key", "items"]), items.select("hash", "item", "n_item"), "row")
+    hits = hits.where(F.array_contains("items", F.col("item")))
+    counted = hits.groupBy("row", "key", "item", "n_item").agg(F.size(F.collect_set("hash")).cast("bigint").alias("n_shared"))
+    return counted.where(F.col("n_shared") * down >= F.col("n_item") * up).select(
         F.col("key").alias(key), F.col("item").alias(item), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")
     )
 

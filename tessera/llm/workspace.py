@@ -58,8 +58,18 @@ def fields(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{column}`").alias(alias) for alias, column in names.items()])
 
 
-#: Keys up to this many (under 100 bytes each) are broadcast by ``without``; more are joined by shuffle.
-BROADCAST_KEYS = 500_000
+#: Bytes of rows that are broadcast at most; larger tables are joined by shuffle. In memory they take about three times that.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether the rows of a written table (text, binary and plain columns) fit a broadcast, by their bytes, not by their number."""
+    from pyspark.sql import functions as F
+
+    width = F.lit(16)
+    for f in df.schema.fields:
+        width = width + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if f.dataType.typeName() in ("string", "binary") else F.lit(8))
+    return (df.agg(F.sum(width)).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
 
 
 def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
@@ -67,5 +77,5 @@ def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     gone = written(gone.toDF("__gone").distinct(), "gone")
-    side = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
+    side = F.broadcast(gone) if small(gone) else gone
     return df.join(side, df[key].eqNullSafe(side["__gone"]), "left_anti")

@@ -63,9 +63,9 @@ def shingles(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
 def test_contained_items_as_brute_force(spark, documents, monkeypatch, broadcast):
-    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", broadcast)
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", broadcast)
     r = random.Random(11)
     word = lambda: f"w{r.randrange(60)}"
     items = [(k, " ".join(word() for _ in range(r.choice([3, 5, 9, 20, 41])))) for k in range(12)] + [(50, None), (51, ""), (3, "one more text of item three")]
@@ -105,9 +105,31 @@ def test_decontamination_without_rows(spark, edge):
     assert decontamination.contained_items(edge.limit(0), item).count() == 0
 
 
-@pytest.mark.parametrize("bound", [500_000, 0])
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_a_common_shingle_and_repeated_rows(spark, documents, monkeypatch, broadcast):
+    """Every document has the shingles that many items begin with; rows that repeat are told one by one."""
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", broadcast)
+    common = "these are the words that all of them begin with"
+    items = [(k, f"{common} and item {k} ends so {k} here") for k in range(30)]
+    docs = [(k, f"{common} but say number {k} " * 3) for k in range(300)] + [(500, "x " + items[7][1])] * 3 + [(None, items[9][1])] * 2
+    found = decontamination.contained_items(documents(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = sorted((r["doc_id"] or 0, r["item_id"]) for r in found if r["containment"] == 1)
+    assert got == [(0, 9), (0, 9), (500, 7), (500, 7), (500, 7)]
+
+
+def test_sketches_alone_are_searched(spark, documents):
+    """The first join of the plan has sketch hashes only: a quarter of an item's shingles, about."""
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(44))) for k in range(5)], "item bigint, text string")
+    found = decontamination.item_sketches(items, 5, (3, 4)).collect()
+    assert {r["n_item"] for r in found} == {40} and {r["size_class"] for r in found} == {5}
+    for k in range(5):
+        own = sorted(r["hash"] for r in found if r["item"] == k)
+        assert sorted(r["hash"] for r in found if r["item"] == k and r["in_sketch"]) == own[: 63 - 48 + 1]
+
+
+@pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_without_treats_null_as_equal(spark, monkeypatch, bound):
-    monkeypatch.setattr(workspace, "BROADCAST_KEYS", bound)
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", bound)
     df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k bigint, gone string")
     gone = spark.createDataFrame([(None,), (2,)], "k bigint")
     assert [tuple(r) for r in workspace.without(df, "k", gone).collect()] == [(1, "a")]
