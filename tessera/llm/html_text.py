@@ -1,8 +1,11 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the running text below them, and the page votes for the generalised tag-class
-path of its best one. Votes are counted per host in Spark; then every page is read again with its host's winning
-path, so that pages agree on where the text lies even where one alone would mislead.
+path of its best one. Votes are counted per host in Spark; then pages whose own path isn't their host's winning one
+are extracted again with that, so that pages agree on where the text lies even where one alone would mislead.
+
+What a class, id or role says about an element is evidence, no verdict: it only counts by its head noun (share-price
+is a price, footer-links are a footer), and an element that holds nearly all of a page's text stays whatever its name.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workspace
 from .url_filter import url_host
 from .workspace import fields, table, written
 
@@ -30,9 +34,7 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 #: Elements whose content is no markup, elements without content, and elements that are never part of the text.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = RAW | set(
-    "head nav footer aside form noscript template svg math button select option dialog menu object canvas audio video".split()
-)
+DROPPED = RAW | set("head nav footer aside noscript template svg button select option dialog menu object canvas audio video".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search "
@@ -50,49 +52,94 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words in class, id or role that mark what isn't the article.
+#: Head nouns of class, id or role that mark what isn't the article, and those that readers' comments go by.
 AWAY = set(
-    "nav navbar navigation menu breadcrumb breadcrumbs footer foot sidebar side aside rail widget widgets cookie cookies "
-    "consent gdpr notice notices banner popup modal overlay alert alerts ad ads advert adverts advertisement advertising "
-    "adsense sponsor sponsored promo promotion comment comments disqus replies reply respond share sharing social related "
-    "recommended newsletter subscribe subscription signup login search form pagination pager toolbar copyright "
-    "contentinfo complementary dialog masthead hidden".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs footer foot sidebar aside rail widget widgets cookie cookies "
+    "consent gdpr notice notices banner popup modal overlay ad ads advert adverts advertisement advertisements advertising "
+    "adsense sponsor sponsored promo promotion share sharing social related recommended recommendations newsletter subscribe "
+    "subscription signup login search form pagination pager toolbar copyright contentinfo complementary dialog hidden".split()
+)
+COMMENTS = set("comment comments commentlist disqus replies reply respond responses".split())
+#: Words after a head noun that only tell what kind of element it is.
+KIND = set(
+    "area bar block body box button buttons column container content group holder icon icons inner item items left link links "
+    "list main module outer overlay panel right row section slot text title top bottom unit wrap wrapper".split()
 )
-AWAY_PARTS = re.compile(r"comment|advert|cookie|sidebar|navbar|sponsor|newsletter|breadcrumb|disqus|nav$|menu$|footer$|ads$")
 #: A class with such a word tells about a page's layout, as in has-sidebar.
 ABOUT = {"has", "no", "with", "without"}
-#: A container takes over from the one around it with this share of its text.
+#: A container takes over from the one around it with this share of its text, and a wrapper or an element with a name
+#: of AWAY stays with this share of the page's.
 SHARE = 0.8
 
 
+def _head(name: str) -> str | None:
+    """The head noun of a class, id or role, as ad of top-ad-slot0."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if ABOUT & set(words):
+        return None
+    while len(words) > 1 and words[-1] in KIND:
+        words.pop()
+    return words[-1] if words else None
+
+
 @lru_cache(maxsize=20_000)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(generalised label, isn't the article, is a header by name)."""
+def _element(tag: str, attributes: str) -> tuple[str, str]:
+    """(generalised label, what it may be): "" for text, "away" for what never is the article, "comments" for what
+    readers wrote, "header" for what is one in an article only, "maybe" for what isn't the article unless it wraps it."""
     found = {}
     for name, *values in ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), html.unescape("".join(values)))
-    names = sorted({re.sub(r"\d+", "0", c.lower()) for c in found.get("class", "").split()})
-    named = [re.split(r"[^a-z]+", c) for c in " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()]
-    words = {w for ws in named if not ABOUT & set(ws) for w in ws}
-    away = bool(words & AWAY) or any(AWAY_PARTS.search(w) for w in words)
-    if tag == "article":  # readers' comments can be articles, nothing else that isn't the text
-        away = any(re.match("comment|repl", w) for w in words)
-    away |= "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()))
+    classes = sorted({re.sub(r"\d+", "0", c.lower()) for c in found.get("class", "").split()})
+    label = ".".join([tag, *classes])
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()))
     if tag in ("html", "body", "main"):
-        away = False
-    return ".".join([tag, *names]), away or tag in DROPPED, tag == "header" or "header" in words
+        return label, ""
+    if hidden or tag in DROPPED:
+        return label, "away"
+    heads = {_head(c) for k in ("class", "id", "role") for c in found.get(k, "").lower().split()}
+    if heads & COMMENTS:
+        return label, "comments"
+    if tag == "header" or heads & {"header", "masthead"}:
+        return label, "header"
+    return label, "maybe" if tag == "form" or (tag != "article" and heads & AWAY) else ""
 
 
 class Page:
     """The blocks of a page and the containers they lie in."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int]] = []
-        self.parents, self.paths, self.tags, self.scores = [-1], [""], [""], [0]
+        self.blocks: list[tuple[str, int, int]] = []  # text, container, running characters
+        self.parents, self.paths, self.tags, self.kinds = [-1], [""], [""], [""]
         self._read(source)
+        self._judge()
+
+    def _sums(self) -> list[int]:
+        scores = [0] * len(self.parents)
+        for _, k, n in self.blocks:
+            scores[k] += n
         for k in range(len(self.parents) - 1, 0, -1):
-            self.scores[self.parents[k]] += self.scores[k]
+            scores[self.parents[k]] += scores[k]
+        return scores
+
+    def _judge(self) -> None:
+        """Drop what isn't the article: comments and what may be away, but for that which holds nearly all the text."""
+        scores, n = self._sums(), len(self.parents)
+        last = list(range(n))  # the last container inside each one; containers are in page order
+        for k in range(n - 1, 0, -1):
+            last[self.parents[k]] = max(last[self.parents[k]], last[k])
+        articles = [k for k, tag in enumerate(self.tags) if tag in ("article", "main")]
+        gone, within = [False] * n, [tag in ("article", "main") for tag in self.tags]
+        for k in range(1, n):
+            kind, inner = self.kinds[k], within[self.parents[k]]
+            within[k] = within[k] or inner
+            gone[k] = gone[self.parents[k]] or kind == "comments"
+            if kind in ("maybe", "header") and not gone[k]:
+                alone = not articles or (k <= articles[0] and articles[-1] <= last[k])
+                wraps = alone and not inner and scores[k] >= SHARE * scores[0]
+                gone[k] = not (wraps or (kind == "header" and inner))
+        self.blocks = [b for b in self.blocks if not gone[b[1]]]
+        self.gone, self.scores = gone, self._sums()
 
     def _path(self, parent: str, label: str) -> str:
         if len(parent) > 400:  # a deep path goes on from its digest
@@ -100,10 +147,9 @@ class Page:
         return f"{parent}>{label}"
 
     def _read(self, source: str) -> None:
-        # open elements: (tag, path, container, dropped, inside an article, headings only)
-        stack = [("", "", 0, False, False, False)]
+        stack = [("", "", 0, False)]  # open elements: (tag, path, container, dropped)
         text: list[str] = []
-        linked = links = heading = 0
+        linked = links = 0
         position = 0
 
         def flush() -> None:
@@ -111,23 +157,18 @@ class Page:
             if text:
                 words = " ".join("".join(text).split())
                 if words:
-                    container = stack[-1][2]
-                    self.blocks.append((words, container))
-                    self.scores[container] += max(0, len(words) - 2 * linked)
+                    self.blocks.append((words, stack[-1][2], max(0, len(words) - 2 * linked)))
                 text.clear()
             linked = 0
 
         def close(depth: int) -> None:
-            nonlocal links, heading
-            for tag, *_ in stack[depth:]:
-                links -= tag == "a"
-                heading -= tag in HEADINGS
+            nonlocal links
+            links -= sum(tag == "a" for tag, *_ in stack[depth:])
             del stack[depth:]
 
         def say(run: str) -> None:
             nonlocal linked
-            top = stack[-1]
-            if top[3] or (top[5] and not heading):
+            if stack[-1][3]:
                 return
             if "&" in run:
                 run = html.unescape(run)
@@ -187,31 +228,27 @@ class Page:
                     if stack[depth][0] in ended:
                         close(depth)
                         break
-            label, away, header = _element(tag, attributes)
-            _, path, container, dropped, article, only = stack[-1]
+            label, kind = _element(tag, attributes)
+            _, path, container, dropped = stack[-1]
             path = self._path(path, label)
-            if header and not dropped:
-                if article or heading:
-                    only = only or tag == "header"
-                else:
-                    away = away or tag not in ("html", "body", "main", "article")
-            if tag in CONTAINERS and not (dropped or away):
+            dropped = dropped or kind == "away" or (kind != "" and tag not in BLOCKS)
+            if not dropped and (tag in CONTAINERS or kind):
                 self.parents.append(container)
                 self.paths.append(path)
                 self.tags.append(tag)
-                self.scores.append(0)
+                self.kinds.append(kind)
                 container = len(self.parents) - 1
             links += tag == "a"
-            heading += tag in HEADINGS
-            stack.append((tag, path, container, dropped or away, article or tag in ("article", "main"), only))
+            stack.append((tag, path, container, dropped))
 
     def best(self) -> int:
         """The container of the article: down from the page while one child has most of the text, up to an article."""
         children: dict[int, list[int]] = {}
         for k in range(1, len(self.parents)):
-            children.setdefault(self.parents[k], []).append(k)
+            if not self.gone[k]:
+                children.setdefault(self.parents[k], []).append(k)
         now = 0
-        while self.tags[now] not in ("article",):
+        while self.tags[now] != "article":
             below = max(children.get(now, []), key=lambda k: self.scores[k], default=None)
             articles = [k for k in children.get(now, []) if self.tags[k] in ("article", "main")]
             if articles:
@@ -228,75 +265,85 @@ class Page:
 
     def text(self, path: str | None = None) -> str:
         """The blocks in the containers with this path, or in the page's own best one where it has none."""
-        inside = [False] * len(self.parents)
-        if path:
-            for k in range(1, len(self.parents)):
-                inside[k] = self.paths[k] == path or inside[self.parents[k]]
-        chosen = [words for words, k in self.blocks if inside[k]]
+        chosen = self._inside([k > 0 and self.paths[k] == path for k in range(len(self.parents))]) if path else []
         if not chosen:
-            inside = [False] * len(self.parents)
-            inside[self.best()] = True
-            for k in range(1, len(self.parents)):
-                inside[k] = inside[k] or inside[self.parents[k]]
-            chosen = [words for words, k in self.blocks if inside[k]]
+            best = self.best()
+            chosen = self._inside([k == best for k in range(len(self.parents))])
         return "\n".join(chosen)
 
+    def _inside(self, chosen: list[bool]) -> list[str]:
+        for k in range(1, len(self.parents)):
+            chosen[k] = chosen[k] or chosen[self.parents[k]]
+        return [words for words, k, _ in self.blocks if chosen[k]]
+
+
+_OWN = "path string, score bigint, text string"
 
-def host_votes(pages: DataFrame) -> DataFrame:
-    """Rows (host, html) -> (host, path, pages, chars): summed in each task before the shuffle."""
+
+def own_texts(pages: DataFrame) -> DataFrame:
+    """Rows (mark, key, url, host, html) -> the same without html, and each page's own vote (path and score, null
+    without running text) and the text that lies there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str], list[int]] = {}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if source and (vote := Page(source).vote()):
-                    sums = found.setdefault((host, vote[0]), [0, 0])
-                    sums[0] += 1
-                    sums[1] += vote[1]
-            keys, values = list(found), list(found.values())
-            columns = [[h for h, _ in keys], [p for _, p in keys], [n for n, _ in values], [c for _, c in values]]
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "pages", "chars"])
+            paths, scores, texts = [], [], []
+            for source in batch.column(4).to_pylist():
+                page = Page(source or "")
+                path, score = page.vote() or (None, None)
+                paths.append(path)
+                scores.append(score)
+                texts.append(page.text(path))
+            arrays = [*batch.columns[:4], pa.array(paths, pa.string()), pa.array(scores, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["mark", "key", "url", "host", "path", "score", "text"])
 
-    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, pages bigint, chars bigint")
-    return votes.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    kind = pages.schema["key"].dataType.simpleString()
+    return pages.select("mark", "key", "url", "host", "html").mapInArrow(run, f"mark bigint, key {kind}, url string, host string, {_OWN}")
 
 
 def host_paths(votes: DataFrame) -> DataFrame:
-    """(host, path): most pages win, then most text, then the greater path by order."""
-    return votes.groupBy("host").agg(F.max(F.struct("pages", "chars", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
+    """Rows (host, path, score), one per page -> (host, winner): most pages win, then most text, then the greater path by
+    order. Votes are summed before they move."""
+    summed = votes.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("score").alias("chars"))
+    return summed.groupBy("host").agg(F.max(F.struct("pages", "chars", "path")).alias("best")).select("host", F.col("best.path").alias("winner"))
 
 
-#: Hosts up to this many are broadcast with their paths (under 500 bytes each); more are joined by salted shuffle.
-BROADCAST_HOSTS, SALTS = 50_000, 32
+#: Parts that a host's rows are spread over where hosts are joined by shuffle.
+SALTS = 32
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars.
 
     A null or empty page, or one without text, gives an empty text. White space in a block becomes one space, blocks
-    are joined by \\n in page order, and nothing of the article is cut. Repeated pages are kept, pages without a url
-    are one host of their own. The pages are read twice and shuffled never, unless there are very many hosts; then
-    the hosts' rows are spread over salts, so that one large host isn't one task.
+    are joined by \\n in page order, and nothing of the article is cut, however long the page is. Repeated pages are
+    kept, pages without a url are one host of their own. Of paths with equally many votes that with more text wins, then
+    the greater one by order.
+
+    Pages are parsed once, and again only where their host's path is another than their own. Html is never shuffled
+    but for such pages, if they are too many for a broadcast of their numbers; texts are only if there are too many
+    hosts for one, spread over salts then, so that one large host isn't one task.
     """
-    rows = fields(pages, key=key, url=url, html=source).withColumn("host", url_host(F.col("url")))
-    winners = written(host_paths(host_votes(rows)), "host_paths")
-    if winners.count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(winners), "host", "left")
+    rows = fields(pages, key=key, url=url, html=source).withColumns({"host": url_host(F.col("url")), "mark": F.xxhash64("key", "url", "html")})
+    own = written(own_texts(rows), "own_texts")
+    winners = written(host_paths(own), "host_paths")
+    if workspace.small(winners):
+        joined = own.join(F.broadcast(winners), "host", "left")
     else:
         salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
-        joined = rows.join(salted, ["host", "salt"], "left")
+        joined = own.withColumn("salt", F.pmod("mark", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    agrees = F.col("winner").isNull() | F.coalesce(F.col("winner") == F.col("path"), F.lit(False))
+    same = joined.where(agrees).select("key", "url", "text")
+    other = written(joined.where(~agrees).select("mark", "winner").distinct(), "other_paths")
+    again = rows.join(F.broadcast(other) if workspace.small(other) else other, "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(s).text(p) if s else "" for s, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "url", "text", "n_chars"])
+            texts = [Page(s or "").text(p) for s, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    found = joined.select("key", "url", "html", "path").mapInArrow(run, f"key {kind}, url string, text string, n_chars bigint")
-    return found.withColumnsRenamed({"key": key, "url": url})
+    found = same.unionByName(again.select("key", "url", "html", "winner").mapInArrow(run, f"key {kind}, url string, text string"))
+    return found.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

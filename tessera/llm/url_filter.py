@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workspace
 from .workspace import fields, table
 
 #: The rules of the contract: (verdict, host, path), fixed values.
@@ -21,8 +22,6 @@ RULES = [
 ]
 #: Hexadecimal digits of a digest that serve as join key.
 PREFIX_DIGITS = 8
-#: Rules up to this many are broadcast (under 100 bytes each); more are joined by shuffle.
-BROADCAST_RULES = 200_000
 
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,9 +81,8 @@ def judge_urls(
     expanded = expanded.withColumn("full", F.sha2("expression", 256)).withColumn(
         "prefix", F.substring("full", 1, PREFIX_DIGITS)
     )
-    n_rules = ready.limit(BROADCAST_RULES + 1).count()
     side = ready.select("prefix", "digest", "rule", "rule_length", "verdict")
-    if n_rules <= BROADCAST_RULES:
+    if workspace.small(side):
         side = F.broadcast(side)
     matched = expanded.join(side, "prefix", "left")
     sure = F.col("full") == F.col("digest")

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tessera.llm import html_text, url_filter
+from tessera.llm import html_text, url_filter, workspace
 
 # ---------------------------------------------------------------- url filters
 
@@ -38,9 +38,9 @@ def judge(url, rules, default="allow"):
     return (host, path, *(max(fits)[1:] if fits else (None, default)))
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
 def test_urls_as_by_plain_rules(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", broadcast)
     pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(URLS)] + [(3, URLS[3], "again")], "page_id bigint, url string, host string")
     found = url_filter.judge_urls(pages, url_filter.write_rules(spark, url_filter.RULES)).collect()
     assert len(found) == len(URLS) + 1
@@ -114,12 +114,61 @@ def test_hosts_agree(spark):
 
 
 def test_many_hosts_are_joined_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(workspace, "BROADCAST_BYTES", 0)
     df = spark.createDataFrame([(k, f"http://h{k % 2}.example/", page(ARTICLE)) for k in range(5)], "page_id bigint, url string, html string")
     assert [r["text"] for r in html_text.extract(df).collect()] == [TEXT] * 5
 
 
 def test_votes_are_summed_per_host(spark):
     df = spark.createDataFrame([("h", page(ARTICLE)), ("h", page(ARTICLE)), ("g", "<p>words</p>"), ("n", None)], "host string, html string")
-    votes = {(r["host"], r["path"]): r["pages"] for r in html_text.host_votes(df).collect()}
-    assert votes == {("h", ">html>body.p0.page>div.main>article.post.post-0"): 2}
+    rows = df.selectExpr("0L AS mark", "0L AS key", "host", "'' AS url", "html")
+    votes = {r["host"]: r["winner"] for r in html_text.host_paths(html_text.own_texts(rows)).collect()}
+    assert votes == {"h": ">html>body.p0.page>div.main>article.post.post-0"}
+
+
+def test_votes_that_tie(spark):
+    rows = [("h", ">a", 5), ("h", ">b", 5), ("g", ">a", 5), ("g", ">b", 4), ("i", ">a", 2), ("i", ">a", 2), ("i", ">b", 9), ("j", None, None)]
+    votes = spark.createDataFrame(rows, "host string, path string, score bigint")
+    assert {r["host"]: r["winner"] for r in html_text.host_paths(votes).collect()} == {"h": ">b", "g": ">a", "i": ">a"}
+
+
+KEPT = "A sentence of the article with words enough. And another one, so that it's read as text."
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        '<div class="downloads"><p>{}</p></div>',
+        '<section class="threads"><p>{}</p></section>',
+        '<p class="share-price">{}</p>',
+        '<div class="menu-recipes social-history"><p>{}</p></div>',
+        "<p>{} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>",
+        '<header><h2>Head</h2><p class="standfirst">{}</p></header>',
+        '<div class="post-header"><p>{}</p></div>',
+        '<section class="commentary"><p>{}</p></section>',
+    ],
+)
+def test_the_article_is_kept_whole(block):
+    found = html_text.Page(page("<p>Before it.</p>" + block.format(KEPT) + "<p>After it.</p>")).text()
+    assert KEPT in found and found.startswith("Before it.\n") and found.endswith("\nAfter it.")
+    if "math" in block:
+        assert "x=2" in found
+
+
+@pytest.mark.parametrize("attributes", ['class="ad"', 'class="top-ad-slot7"', 'id="cookie-banner-box"', 'class="news-comments"', 'class="footer-links"', 'role="navigation"', "hidden", 'style="display: none"', 'class="x sidebar-left"'])
+@pytest.mark.parametrize("place", ["inside", "beside"])
+def test_what_is_no_article_goes(attributes, place):
+    other = f"<div {attributes}><p>{KEPT * 5}</p></div>"
+    found = html_text.Page(page(ARTICLE + other) if place == "inside" else page(ARTICLE, other)).text()
+    assert found == TEXT
+
+
+def test_names_that_the_whole_text_stands_under():
+    for tag, attributes in [("form", ""), ("div", 'class="menu"'), ("header", ""), ("div", 'id="sidebar"')]:
+        assert html_text.Page(f"<body><nav>Home</nav><{tag} {attributes}><article><p>{KEPT}</p></article></{tag}></body>").text() == KEPT
+        assert html_text.Page(f"<body><nav>Home</nav><{tag} {attributes}><p>{KEPT}</p></{tag}><p>short</p></body>").text().startswith(KEPT)
+
+
+def test_a_page_of_many_megabytes():
+    paragraphs = [f"Paragraph {k} of a very long article, written to the end." for k in range(60_000)]
+    assert html_text.Page(page("".join(f"<p>{p}</p>" for p in paragraphs))).text() == "\n".join(paragraphs)
