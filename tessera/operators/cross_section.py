@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,15 +46,16 @@ def probabilities(n: int) -> list[float]:
     return [(k * step if k < n else 1.0) * 100 / 100 for k in range(n + 1)]
 
 
-def edges(values: Column, n: int) -> Column:
-    """The distinct linear-interpolated quantiles of an ascending array, as an array."""
-    size = F.size(values)
+def edges(value: Column, place: Column, size: Column, group: WindowSpec, n: int) -> Column:
+    """The distinct linear-interpolated quantiles of a group's values, as an array: ``place`` is a value's rank from 0
+    and ``size`` the number of values, and the values next to each quantile are picked by their rank."""
 
     def edge(p: float) -> Column:
-        place = F.lit(p) * (size - 1)
-        low = F.floor(place).cast("int")
-        t = place - low
-        a, b = F.get(values, low), F.get(values, F.least(low + 1, size - 1))
+        at = F.lit(p) * (size - 1)
+        low = F.floor(at).cast("int")
+        t = at - low
+        a = F.max(F.when(place == low, value)).over(group)
+        b = F.max(F.when(place == F.least(low + 1, size - 1), value)).over(group)
         gap = b - a
         return F.when(t >= 0.5, b - gap * (1 - t)).otherwise(a + gap * t)
 
@@ -63,13 +64,20 @@ def edges(values: Column, n: int) -> Column:
 
 def bucketed(df: DataFrame, by: list[str], value: str, n: int, least: int, name: str) -> DataFrame:
     """``df`` with the quantile label 0..n-1 of ``value`` within ``by``; null where fewer than ``least`` rows have a
-    value or all are equal. Only the groups' edges are joined back, n + 1 doubles each."""
-    groups = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.col(value) + F.lit(0.0))).alias("__v"))
-    cut = groups.where(F.size("__v") >= least).select(*by, edges(F.col("__v"), n).alias("__e")).where(F.size("__e") > 1)
-    own = F.col(value) + F.lit(0.0)
-    label = F.greatest(F.size(F.filter("__e", lambda e: e < own)) - 1, F.lit(0))
-    joined = df.join(cut, by, "left")
-    return joined.withColumn(name, F.when(F.col("__e").isNotNull() & F.col(value).isNotNull(), label)).drop("__e")
+    value or all are equal. One exchange by the group: ranks, edges and labels are windows over it, which spill, and
+    nothing is collected or joined back."""
+    group = W.partitionBy(*by)
+    ranked = df.withColumns(
+        {
+            "__v": F.col(value) + F.lit(0.0),
+            "__n": F.count(value).over(group).cast("int"),
+            "__place": F.row_number().over(group.orderBy(F.col(value).asc_nulls_last())) - 1,
+        }
+    )
+    cut = ranked.withColumn("__e", edges(F.col("__v"), F.col("__place"), F.col("__n"), group, n))
+    label = F.greatest(F.size(F.filter("__e", lambda e: e < F.col("__v"))) - 1, F.lit(0))
+    known = (F.col("__n") >= least) & (F.size("__e") > 1) & F.col("__v").isNotNull()
+    return cut.withColumn(name, F.when(known, label)).drop("__v", "__n", "__place", "__e")
 
 
 def simple_bucket(df: DataFrame, *, score_col: str = "score", n_quantiles: int = N_QUANTILES) -> DataFrame:

@@ -66,10 +66,8 @@ def parse_company_facts(payloads: DataFrame, concepts: list[str] | None = None,
 def period_months(start: Column, end: Column) -> Column:
     """A period's months: 0 without a start, the usual spans as 3, 6, 9 or 12, others rounded half to even."""
     days = F.datediff(end, start) + 1
-    months = F.bround(days / F.lit(DAYS_PER_MONTH)).cast("bigint")
-    for (low, high), n in MONTH_SPANS.items():
-        months = F.when(days.between(low, high), F.lit(n).cast("bigint")).otherwise(months)
-    return F.coalesce(months, F.lit(0).cast("bigint"))
+    usual = [F.when(days.between(low, high), F.lit(n)) for (low, high), n in MONTH_SPANS.items()]
+    return F.coalesce(*usual, F.bround(days / F.lit(DAYS_PER_MONTH)), F.lit(0)).cast("bigint")
 
 
 def standardize_facts(raw: DataFrame, fields: list[str] | None = None, forms: tuple[str, ...] | None = DEFAULT_FORMS) -> DataFrame:
@@ -112,39 +110,53 @@ def quarantined(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def derive_quarters(facts: DataFrame) -> DataFrame:
     """The facts and the single quarters that year-to-date values of one company imply.
 
-    A value over six months or more less the one three months shorter with the same start, known by then and ending a
-    quarter earlier, is the last quarter. Of several shorter ones the same concept goes first, then the latest filing,
-    then the greatest accession number. A reported quarter of the same filing stays before a derived one.
+    A value over 6, 9 or 12 months less the one exactly three months shorter with the same start, known by then and
+    ending a quarter earlier, is the last quarter; values over other spans take no part. Of several shorter ones the
+    same concept goes first, then the latest filing, then the greatest accession number. A reported quarter of the same
+    filing stays before a derived one.
+
+    No pairs are made: later and earlier values of a company, field, start and span are put in the order of their
+    filing, and the best earlier one is the running maximum at the later one. An earlier value is there once for
+    each distinct end of a later one that it precedes by a quarter, which is one as a rule.
     """
     additive = [name for name, spec in FIELDS.items() if spec.additive]
-    spans = facts.where(F.col("field").isin(additive) & F.col("period_start").isNotNull())
-    earlier = spans.where(F.col("period_months") <= 9).select(
-        "ticker", "cik", "field", "period_start", *[F.col(c).alias(f"g_{c}") for c in ("concept", "period_end", "period_months", "value", "filed", "accn")]
-    )
-    later = spans.where(F.col("period_months") >= 6)
-    pairs = later.join(earlier, ["ticker", "cik", "field", "period_start"]).where(
-        (F.col("g_period_months") == F.col("period_months") - 3)
-        & (F.col("g_filed") <= F.col("filed"))
-        & F.datediff("period_end", "g_period_end").between(*QUARTER_GAP)
+    usual = F.col("period_months").isin(sorted(MONTH_SPANS.values()))
+    spans = facts.where(F.col("field").isin(additive) & F.col("period_start").isNotNull() & usual)
+    n = F.col("period_months")
+    roles = F.array(
+        F.when(n >= 6, F.struct(n.alias("months"), F.lit(True).alias("asks"), F.col("period_end").alias("end"))),
+        F.when(n <= 9, F.struct((n + 3).alias("months"), F.lit(False).alias("asks"), F.lit(None).cast("date").alias("end"))),
     )
-    choice = F.struct((F.col("g_concept") == F.col("concept")).alias("same"), "g_filed", "g_accn")
-    version = ["ticker", "cik", "field", "accn", "period_end", "period_months"]
-    rest = [c for c in FACT_COLUMNS if c not in version]
-    best = pairs.groupBy(*version, "period_start").agg(
-        F.max_by(F.struct("g_period_end", "g_value", *[c for c in rest if c != "period_start"]), choice).alias("x"), F.max(choice).alias("g")
-    )
-    made = best.select(
-        *["ticker", "cik", "field", "accn", "period_end"],
-        F.lit(3).cast("bigint").alias("period_months"),
-        F.date_add("x.g_period_end", 1).alias("period_start"),
-        (F.col("x.value") - F.col("x.g_value")).alias("value"),
-        *[F.col(f"x.{c}").alias(c) for c in ("concept", "unit", "fy", "fp", "form", "filed")],
-        F.lit(True).alias("derived"),
-        F.col("g").alias("choice"),
+    rows = spans.select(*FACT_COLUMNS, F.explode(F.array_compact(roles)).alias("role"))
+    key = ["ticker", "cik", "field", "period_start", "role.months"]
+    rows = rows.withColumn("ends", F.collect_set("role.end").over(W.partitionBy(*key)))
+    ends = F.filter("ends", lambda e: F.datediff(e, "period_end").between(*QUARTER_GAP))
+    rows = rows.withColumn("end", F.explode(F.when(F.col("role.asks"), F.array("role.end")).otherwise(ends)))
+    earlier = F.when(~F.col("role.asks"), F.struct("filed", "accn", "period_end", "value"))
+    order = [F.col("filed"), F.col("role.asks")]
+    frame = (W.unboundedPreceding, W.currentRow)
+    alike = F.max(earlier).over(W.partitionBy(*key, "end", "concept").orderBy(*order).rowsBetween(*frame))
+    best = F.max(earlier).over(W.partitionBy(*key, "end").orderBy(*order).rowsBetween(*frame))
+    found = rows.withColumns({"alike": alike, "best": best}).where(F.col("role.asks") & F.col("best").isNotNull())
+    g = F.coalesce("alike", "best")
+    made = found.withColumns({"g": g, "choice": F.struct(F.col("alike").isNotNull().alias("same"), g["filed"].alias("filed"), g["accn"].alias("accn"))})
+    made = made.withColumns(
+        {
+            "span": F.col("period_months"),
+            "period_months": F.lit(3).cast("bigint"),
+            "period_start": F.date_add("g.period_end", 1),
+            "value": F.col("value") - F.col("g.value"),
+            "derived": F.lit(True),
+        }
     )
     none = F.lit(None).cast(made.schema["choice"].dataType)
-    every = facts.select(*FACT_COLUMNS).withColumn("choice", none).unionByName(made.select(*FACT_COLUMNS, "choice"))
-    first = W.partitionBy(*version).orderBy("derived", "choice.same", "choice.g_filed", "choice.g_accn")
+    every = facts.select(*FACT_COLUMNS, F.lit(None).cast("bigint").alias("span"), none.alias("choice"))
+    every = every.unionByName(made.select(*FACT_COLUMNS, "span", "choice"))
+    # of one filing's values over one span the best choice counts, then of all spans that end in the quarter the least
+    version = ["ticker", "cik", "field", "accn", "period_end", "period_months"]
+    of_span = F.row_number().over(W.partitionBy(*version, "derived", "span").orderBy(F.col("choice").desc()))
+    every = every.withColumn("place", of_span).where(~F.col("derived") | F.col("span").isNull() | (F.col("place") == 1))
+    first = W.partitionBy(*version).orderBy("derived", "choice")
     return every.withColumn("place", F.row_number().over(first)).where("place = 1").select(*FACT_COLUMNS)
 
 

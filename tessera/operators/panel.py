@@ -76,13 +76,17 @@ def result(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select(refuse(again, "a (date, ticker) repeats", F.col("date")).alias("date"), "ticker", value.alias(name))
 
 
-def to_panel(factor: DataFrame, name: str) -> DataFrame:
-    """A factor (date, ticker, one value) under another name; nulls stay."""
-    if not isinstance(name, str) or not name:
-        raise ValueError("name must be text")
+def to_panel(factor: DataFrame, name: str, *, validate: bool = True) -> DataFrame:
+    """A factor (date, ticker, one value) under another name; nulls stay. A null or repeated key is a ValueError (one
+    job unless validate=False)."""
+    if not isinstance(name, str):
+        raise TypeError("name must be text")
+    if not name.strip():
+        raise ValueError("name is blank")
     columns(factor, *KEYS)
     values = [c for c in factor.columns if c not in KEYS]
     if len(values) != 1:
         raise ValueError("a factor has one value column")
-    out = _nan_to_null(factor).select(*KEYS, F.col(f"`{values[0]}`").alias(name))
-    return out
+    if validate:
+        assert_unique(factor, KEYS, "(date, ticker)")
+    return _nan_to_null(factor).select(*KEYS, F.col(f"`{values[0]}`").alias(name))

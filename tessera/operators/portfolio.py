@@ -53,15 +53,19 @@ def buy_and_hold_nav(price: DataFrame, initial_capital: float = 1.0, *, price_co
         raise ValueError("initial_capital must be finite and above 0")
     rows = priced(price, price_col)
     rows = rows.withColumn("p", refuse(F.col("p") == float("inf"), "prices must be finite", F.col("p")))
-    first = rows.agg(F.min("date").alias("date"))
-    base = rows.join(F.broadcast(first), "date").where(F.col("p").isNotNull()).select("ticker", F.col("p").alias("base"))
-    if validate and base.limit(1).count() == 0:
-        raise ValueError("no ticker has a price on the first date")
-    members = base.agg(F.count("*").alias("members"))
-    growth = rows.join(base, "ticker").groupBy("date").agg(F.avg(F.col("p") / F.col("base")).alias("mean"), F.count("p").alias("n"))
-    value = F.when(F.col("n") == F.col("members"), F.lit(float(initial_capital)) * F.col("mean"))
-    days = rows.select("date").distinct().join(growth, "date", "left")
-    return days.crossJoin(F.broadcast(members)).select("date", value.alias("nav"))
+    first = rows.groupBy("date").agg(F.count("p").alias("members")).agg(F.min(F.struct("date", "members")).alias("first")).select("first.*")
+    if validate:
+        start = first.first()
+        if not start["members"]:
+            raise ValueError("no ticker has a price on the first date")
+        day, members = F.lit(start["date"]).cast(rows.schema["date"].dataType), F.lit(start["members"])
+    else:
+        rows = rows.crossJoin(F.broadcast(first.toDF("__first", "__members")))  # one row
+        day, members = F.col("__first"), F.col("__members")
+    base = F.max(F.when(F.col("date") == day, F.col("p"))).over(W.partitionBy("ticker"))
+    growth = rows.withColumns({"growth": F.col("p") / base, "members": members}).groupBy("date")
+    found = growth.agg(F.avg("growth").alias("mean"), F.count("growth").alias("n"), F.first("members").alias("members"))
+    return found.select("date", F.when(F.col("n") == F.col("members"), F.lit(float(initial_capital)) * F.col("mean")).alias("nav"))
 
 
 def build_nav(daily_returns: DataFrame, initial_capital: float = 1.0, *, return_col: str | None = None) -> DataFrame:
@@ -106,15 +110,17 @@ def quantile_forward_returns(
     days = rebalance_dates(prices, n).withColumn("next", F.lead("date").over(_by_date()))
     if validate and score.select("date").distinct().join(days, "date", "left_anti").limit(1).count():
         raise ValueError("a score date is no rebalance date")
-    start = prices.join(F.broadcast(days), "date")
-    end = prices.select(F.col("date").alias("next"), "ticker", F.col("p").alias("later"))
-    returns = start.join(end, ["next", "ticker"], "left").select("date", "ticker", (F.col("later") / F.col("p") - 1).alias("r"))
+    # a ticker's next record on a rebalance date is its next price, if that is on the next one of the calendar
+    ahead = W.partitionBy("ticker").orderBy("date")
+    known = prices.join(F.broadcast(days), "date")
+    later = F.when(F.lead("date").over(ahead) == F.col("next"), F.lead("p").over(ahead))
+    returns = known.select("date", "ticker", (later / F.col("p") - 1).alias("r"))
     buckets = simple_bucket(score, score_col=score_col, n_quantiles=q)
-    joined = buckets.join(returns, KEYS, "left").where(F.col("bucket").isNotNull())
-    means = joined.groupBy("date", "bucket").agg(F.avg("r").alias("forward_return"))
-    grid = score.select("date").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    name = F.concat(F.lit("QUANTILE_"), F.col("bucket").cast("string"))
-    return grid.join(means, ["date", "bucket"], "left").select("date", name.alias("ticker"), "forward_return")
+    joined = buckets.join(returns, KEYS, "left")
+    # one pass over the dates: all of them are there, also those without any bucket
+    bucket_mean = [F.avg(F.when(F.col("bucket") == k, F.col("r"))).alias(f"QUANTILE_{k}") for k in range(q)]
+    means = joined.groupBy("date").agg(*bucket_mean)
+    return means.unpivot("date", [f"QUANTILE_{k}" for k in range(q)], "ticker", "forward_return")
 
 
 __all__ = ["buy_and_hold_nav", "build_nav", "quantile_forward_returns", "rebalance_dates", "rebalance_dates_belong"]

@@ -447,31 +447,39 @@ def _period_months(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), filings.period_months(start, end).alias("months"))
 
 
-YTD_SQL = """y AS (SELECT 'T' || lpad((o_custkey % 8)::VARCHAR, 2, '0') AS ticker, lpad((o_custkey % 8)::VARCHAR, 10, '0') AS cik,
+#: Eight customers are a company, so that companies stay as small as the table grows. Every thirteenth value is over an unusual
+#: span (4, 7, 10 or 13 months), which no quarter is derived from.
+YTD_SQL = """y AS (SELECT 'T' || lpad((o_custkey // 8)::VARCHAR, 10, '0') AS ticker, lpad((o_custkey // 8)::VARCHAR, 10, '0') AS cik,
   CASE WHEN o_orderkey % 2 = 0 THEN 'revenue' ELSE 'net_income' END AS field, date_trunc('year', o_orderdate)::DATE AS period_start,
-  (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end, (quarter(o_orderdate) * 3)::BIGINT AS period_months,
+  (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end,
+  (quarter(o_orderdate) * 3 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END)::BIGINT AS period_months,
   'c' || (o_orderkey % 3) AS concept, lpad(o_orderkey::VARCHAR, 10, '0') AS accn,
   (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE + (o_orderkey % 120)::INT AS filed, round(o_totalprice::DOUBLE, 2) AS value
-  FROM orders WHERE o_custkey % 50 = 1)"""
+  FROM orders)"""
 
 
 def _year_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _to_date(spark, sf_dir, _table(spark, sf_dir, "orders").where("o_custkey % 50 = 1"))
-
-
-def _to_date(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
-    rows = facts(spark, sf_dir).join(
-        o.select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("accn"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("day")), "accn"
+    o, key = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    start = F.date_trunc("quarter", "o_orderdate").cast("date")
+    end = F.date_sub(F.add_months(start, 3), 1)
+    company = F.lpad(F.expr("o_custkey div 8").cast("string"), 10, "0")
+    return o.select(
+        F.concat(F.lit("T"), company).alias("ticker"),
+        company.alias("cik"),
+        F.when(key % 2 == 0, "revenue").otherwise("net_income").alias("field"),
+        F.concat(F.lit("c"), (key % 3).cast("string")).alias("concept"),
+        F.lit("USD").alias("unit"),
+        F.date_trunc("year", "o_orderdate").cast("date").alias("period_start"),
+        end.alias("period_end"),
+        (F.quarter("o_orderdate") * 3 + F.when(key % 13 == 0, 1).otherwise(0)).cast("bigint").alias("period_months"),
+        F.round(F.col("o_totalprice").cast("double"), 2).alias("value"),
+        F.year(end).alias("fy"),
+        F.concat(F.lit("Q"), F.quarter(end).cast("string")).alias("fp"),
+        F.lit("10-Q").alias("form"),
+        F.lpad(key.cast("string"), 10, "0").alias("accn"),
+        F.date_add(end, (key % 120).cast("int")).alias("filed"),
+        F.lit(False).alias("derived"),
     )
-    return rows.withColumns(
-        {
-            "period_start": F.date_trunc("year", "day").cast("date"),
-            "period_months": (F.quarter("day") * 3).cast("bigint"),
-            "concept": F.concat(F.lit("c"), (F.col("k") % 3).cast("string")),
-            "value": F.round("value", 2),
-            "derived": F.lit(False),
-        }
-    ).drop("k", "day")
 
 
 _QUARTER = "ticker, field, accn, period_start, period_end, period_months, value, derived"
@@ -483,7 +491,7 @@ _QUARTER = "ticker, field, accn, period_start, period_end, period_months, value,
   row_number() OVER (PARTITION BY a.ticker, a.field, a.accn, a.period_end, a.period_months
   ORDER BY (a.concept = b.concept) DESC, b.filed DESC, b.accn DESC) AS k FROM y a JOIN y b
   ON a.ticker = b.ticker AND a.cik = b.cik AND a.field = b.field AND a.period_start = b.period_start AND b.period_months = a.period_months - 3
-  AND b.filed <= a.filed AND datediff('day', b.period_end, a.period_end) BETWEEN 70 AND 125 WHERE a.period_months >= 6)
+  AND b.filed <= a.filed AND datediff('day', b.period_end, a.period_end) BETWEEN 70 AND 125 WHERE a.period_months IN (6, 9, 12))
 SELECT ticker, field, accn, period_start, period_end, period_months, round(value, 2) + 0.0 AS value, false AS derived FROM y UNION ALL
 SELECT ticker, field, accn, period_start, period_end, 3, round(value, 2) + 0.0, true FROM m WHERE k = 1""",
 )
@@ -491,25 +499,6 @@ def _derive_quarters(spark, sf_dir):
     return rounded(filings.derive_quarters(_year_to_date(spark, sf_dir)).select(*_QUARTER.split(", ")), "value", digits=2)
 
 
-#: As YTD_SQL, of all orders; eight customers are a company, so that companies stay as small as the table grows.
-WHOLE_YTD_SQL = """y AS (SELECT 'T' || lpad((o_custkey // 8)::VARCHAR, 10, '0') AS ticker, lpad((o_custkey // 8)::VARCHAR, 10, '0') AS cik,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'revenue' ELSE 'net_income' END AS field, date_trunc('year', o_orderdate)::DATE AS period_start,
-  (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end, (quarter(o_orderdate) * 3)::BIGINT AS period_months,
-  'c' || (o_orderkey % 3) AS concept, lpad(o_orderkey::VARCHAR, 10, '0') AS accn,
-  (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE + (o_orderkey % 120)::INT AS filed, round(o_totalprice::DOUBLE, 2) AS value
-  FROM orders)"""
-
-
-@query("derive_quarters_whole", ORACLES["derive_quarters"].replace(YTD_SQL, WHOLE_YTD_SQL))
-def _derive_quarters_whole(spark, sf_dir):
-    """Quarters of every order, where derive_quarters reads the orders of one customer in fifty."""
-    o = _table(spark, sf_dir, "orders")
-    company = o.select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("accn"), F.lpad(F.expr("o_custkey div 8").cast("string"), 10, "0").alias("company"))
-    rows = _to_date(spark, sf_dir, o).join(company, "accn")
-    rows = rows.withColumns({"ticker": F.concat(F.lit("T"), F.col("company")), "cik": F.col("company")}).drop("company")
-    return rounded(filings.derive_quarters(rows).select(*_QUARTER.split(", ")), "value", digits=2)
-
-
 @query(
     "standardize_facts",
     """WITH r AS (SELECT 'T' || (o_custkey % 8) AS ticker, lpad((o_custkey % 8)::VARCHAR, 10, '0') AS cik,

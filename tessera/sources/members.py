@@ -41,14 +41,20 @@ def normalize_members(members: DataFrame) -> DataFrame:
         members = members.withColumn("cik", F.lit(None).cast("string"))
     given = F.nullif(F.trim(F.col("cik").cast("string")), F.lit(""))
     out = members.withColumns({"ticker": ticker_column(F.col("ticker").cast("string")), "cik": format_cik_column(given), "__given": given})
-    wrong = out.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("ticker").isNull() | F.coalesce(F.trim(F.col("name").cast("string")) == "", F.lit(True))).alias("blank"),
-        F.count_if(F.col("__given").isNotNull() & F.col("cik").isNull()).alias("cik"),
-    ).first()
+    wrong = (
+        out.groupBy("ticker")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("ticker").isNull() | F.coalesce(F.trim(F.col("name").cast("string")) == "", F.lit(True))).alias("blank"),
+            F.count_if(F.col("__given").isNotNull() & F.col("cik").isNull()).alias("cik"),
+        )
+        .agg(F.max("n").alias("n"), F.sum("blank").alias("blank"), F.sum("cik").alias("cik"))
+        .first()
+    )
     if not wrong["n"] or wrong["blank"] or wrong["cik"]:
         raise ValueError("members are empty, or a ticker, name or CIK isn't valid")
-    assert_unique(out, ["ticker"], "ticker")
+    if wrong["n"] > 1:
+        raise ValueError("a ticker repeats")
     return out.drop("__given")
 
 
