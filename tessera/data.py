@@ -12,6 +12,7 @@ from .sources.store import (
     get_catalog,
     load_constituents,
     load_prices,
+    load_qlib_prices,
     save_fundamentals,
     save_members,
     save_prices,
@@ -72,6 +73,7 @@ __all__ = [
     "load_latest_filed",
     "load_members",
     "load_prices",
+    "load_qlib_prices",
     "normalize_members",
     "parse_changes",
     "parse_constituents",

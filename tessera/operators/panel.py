@@ -90,3 +90,31 @@ def to_panel(factor: DataFrame, name: str, *, validate: bool = True) -> DataFram
     if validate:
         assert_unique(factor, KEYS, "(date, ticker)")
     return _nan_to_null(factor).select(*KEYS, F.col(f"`{values[0]}`").alias(name))
+
+
+def align(*factors: DataFrame) -> DataFrame:
+    """Factors (date, ticker, one value) as columns of one table over all their keys; a value that a key lacks is null.
+
+    One shuffle for all of them, where joins in a row would take one each. A repeated key within a factor stops the job.
+    """
+    names = [c for f in factors for c in f.columns if c not in KEYS]
+    if not factors or len(names) != len(factors) or len(set(names)) != len(names):
+        raise ValueError("factors have one value column each, under different names")
+    rows = factors[0].withColumn("__k", F.lit(0))
+    for k, f in enumerate(factors[1:], 1):
+        columns(f, *KEYS)
+        rows = rows.unionByName(f.withColumn("__k", F.lit(k)), allowMissingColumns=True)
+    own = [F.count_if(F.col("__k") == k) for k in range(len(factors))]
+    wide = rows.groupBy(*KEYS).agg(*[F.max(F.col(f"`{n}`")).alias(n) for n in names], F.greatest(*own, F.lit(0)).alias("__n"))
+    return wide.select(refuse(F.col("__n") > 1, "a (date, ticker) repeats", F.col("date")).alias("date"), "ticker", *[F.col(f"`{n}`") for n in names])
+
+
+def to_wide(panel: DataFrame, value: str, tickers: list[str]) -> DataFrame:
+    """One column per given ticker by date; every date of the panel is there."""
+    columns(panel, *KEYS, value)
+    return panel.groupBy("date").pivot("ticker", tickers).agg(F.first(F.col(f"`{value}`")))
+
+
+def to_long(wide: DataFrame, value: str) -> DataFrame:
+    """(date, ticker, value) of a table with a column per ticker; nulls stay."""
+    return wide.unpivot("date", [F.col(f"`{c}`") for c in wide.columns if c != "date"], "ticker", value)

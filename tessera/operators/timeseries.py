@@ -123,5 +123,10 @@ def forward_volatility(*, df: DataFrame, window: int = 21, gap: int = 1, price_c
     return _rolling_vol(df, w, g + 1, g + w, price_col, f"forward_volatility_{w}_gap_{g}")
 
 
+def simple_returns(df: DataFrame, log_col: str) -> DataFrame:
+    """A column of log returns as simple ones, exp(r) - 1 without loss near 0 -> ``simple_return``."""
+    return df.select("date", "ticker", F.expm1(F.col(f"`{log_col}`")).alias("simple_return"))
+
+
 #: Factors by name, each a function of a panel.
 MOM_FACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"mom_12_1": lambda df: momentum_12_1(df=df)}

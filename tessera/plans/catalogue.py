@@ -7,6 +7,8 @@ Computed doubles are rounded in both, since engines differ in the last bits of s
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,7 +187,7 @@ def _forward_volatility(spark, sf_dir):
 @query("to_panel", _series("price_factor", "adj_close", "1 AS one"))
 def _to_panel(spark, sf_dir):
     p = panel.to_date_ticker_frame(df=prices(spark, sf_dir).select("ticker", "date", "adj_close"))
-    return rounded(panel.to_panel(p, "price_factor"), "price_factor")
+    return rounded(panel.to_panel(p, "price_factor", validate=False), "price_factor")
 
 
 @query("validate_prices", f"WITH {PRICE_SQL} SELECT date, ticker, close FROM p")
@@ -630,3 +632,128 @@ def _as_of_prices(spark, sf_dir):
     belongs = portfolio.rebalance_dates_belong(p, 4)
     return p.join(F.broadcast(belongs), "date").groupBy("ticker", "rebalance_date").agg(F.count("*").alias("weeks"), F.max("close").alias("top"))
 
+
+# ---------------------------------------------------------------- aligned factors, stored tables and files
+
+
+@query(
+    "align_factors",
+    f"""WITH {PRICE_SQL}, a AS (SELECT date, ticker, close AS early FROM p WHERE date < DATE '1997-01-06'),
+b AS (SELECT date, ticker, adj_close AS late FROM p WHERE date >= DATE '1996-01-01') SELECT date, ticker, early, late FROM a FULL JOIN b USING (date, ticker)""",
+)
+def _align_factors(spark, sf_dir):
+    p = prices(spark, sf_dir)
+    early = p.where("date < DATE '1997-01-06'").select("date", "ticker", F.col("close").alias("early"))
+    late = p.where("date >= DATE '1996-01-01'").select("date", "ticker", F.col("adj_close").alias("late"))
+    return panel.align(early, late)
+
+
+@query("simple_returns", _series("simple_return", "exp(l - lag(l, 1) OVER w) - 1", _LOG))
+def _simple_returns(spark, sf_dir):
+    return rounded(timeseries.simple_returns(timeseries.log_returns(df=prices(spark, sf_dir)), "log_return"), "simple_return")
+
+
+@query(
+    "wide_and_long",
+    f"""WITH {PRICE_SQL}, t AS (SELECT unnest(['1', '2', '3', '5', '8']) AS ticker)
+SELECT d.date, t.ticker, p.close FROM (SELECT DISTINCT date FROM p) d CROSS JOIN t LEFT JOIN p ON p.date = d.date AND p.ticker = t.ticker""",
+)
+def _wide_and_long(spark, sf_dir):
+    return panel.to_long(panel.to_wide(prices(spark, sf_dir), "close", ["1", "2", "3", "5", "8"]), "close")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share; a local one where they are one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+@query(
+    "company_facts",
+    """SELECT lpad((o_custkey // 8)::VARCHAR, 10, '0') AS cik, 'E' || (o_custkey // 8) AS entity, 'us-gaap' AS taxonomy,
+CASE WHEN o_orderkey % 2 = 0 THEN 'Revenues' ELSE 'NetIncomeLoss' END AS concept, 'USD' AS unit, date_trunc('quarter', o_orderdate)::DATE AS period_start,
+o_orderdate::DATE AS period_end, round(o_totalprice::DOUBLE, 2) AS value, lpad(o_orderkey::VARCHAR, 10, '0') AS accn, o_orderdate::DATE + 30 AS filed
+FROM orders WHERE o_orderkey % 7 <> 0""",
+)
+def _company_facts(spark, sf_dir):
+    """Orders as one JSON document per company, of which every seventh item lacks its value, and read from that."""
+    o, key = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    item = F.struct(
+        F.date_trunc("quarter", "o_orderdate").cast("date").cast("string").alias("start"),
+        day.cast("string").alias("end"),
+        F.when(key % 7 != 0, F.round(F.col("o_totalprice").cast("double"), 2)).alias("val"),
+        F.lpad(key.cast("string"), 10, "0").alias("accn"),
+        F.date_add(day, 30).cast("string").alias("filed"),
+    )
+    concept = F.when(key % 2 == 0, "Revenues").otherwise("NetIncomeLoss").alias("concept")
+    by_concept = o.groupBy(F.expr("o_custkey div 8").alias("cik"), concept).agg(F.collect_list(item).alias("USD"))
+    specs = F.map_from_entries(F.collect_list(F.struct("concept", F.struct(F.struct("USD").alias("units")).alias("spec"))))
+    documents = by_concept.groupBy("cik").agg(F.struct(specs.alias("us-gaap")).alias("facts"))
+    payload = F.to_json(F.struct("cik", F.concat(F.lit("E"), F.col("cik").cast("string")).alias("entityName"), "facts"))
+    found = filings.parse_company_facts(documents.select(payload.alias("payload")), ["us-gaap:Revenues", "us-gaap:NetIncomeLoss"])
+    return found.select("cik", "entity", "taxonomy", "concept", "unit", "period_start", "period_end", "value", "accn", "filed")
+
+
+@query(
+    "member_files",
+    """SELECT s_suppkey::VARCHAR AS ticker, s_name AS name, lpad(s_suppkey::VARCHAR, 10, '0') AS cik,
+CASE WHEN s_suppkey % 3 <> 0 THEN lpad(s_suppkey::VARCHAR, 10, '0') END AS sec_cik, CASE WHEN s_suppkey % 3 <> 0 THEN 'S' || s_suppkey END AS sec_title FROM supplier""",
+)
+def _member_files(spark, sf_dir):
+    """Suppliers written as a CSV snapshot and a JSON mapping, loaded, saved and read from the store."""
+    root, key = _folder(spark), F.col("s_suppkey").cast("string")
+    s = _table(spark, sf_dir, "supplier")
+    s.select(key.alias("ticker"), F.col("s_name").alias("name"), key.alias("cik")).write.csv(f"{root}/members.csv", header=True)
+    entry = F.struct(key.alias("k"), F.struct(key.alias("ticker"), F.col("s_suppkey").alias("cik_str"), F.concat(F.lit("S"), key).alias("title")).alias("v"))
+    mapping = s.where("s_suppkey % 3 <> 0").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    mapping.write.text(f"{root}/tickers.json")
+    db = store.get_catalog(spark, path=f"{root}/db", read_only=False)
+    store.save_members(db, member_source.load_members(spark, f"{root}/members.csv", sec_tickers=f"{root}/tickers.json"))
+    return store.load_constituents(db=db).select("ticker", "name", "cik", "sec_cik", "sec_title")
+
+
+@query(
+    "stored_prices",
+    f"""WITH {PRICE_SQL} SELECT date, ticker, CASE WHEN ticker::BIGINT % 3 = 0 THEN close + 1 ELSE close END AS close,
+CASE WHEN ticker::BIGINT % 3 <> 0 THEN adj_close END AS adj_close FROM p""",
+)
+def _stored_prices(spark, sf_dir):
+    """Prices saved, a third of the tickers saved again with other values, and read from the store."""
+    db = store.get_catalog(spark, path=_folder(spark), read_only=False)
+    empty = [F.lit(None).cast("double").alias(c) for c in ("open", "high", "low", "volume")]
+    p = prices(spark, sf_dir).select("*", *empty)
+    store.save_prices(db, p)
+    again = p.where(F.col("ticker").cast("bigint") % 3 == 0)
+    store.save_prices(db, again.withColumns({"close": F.col("close") + 1, "adj_close": F.lit(None).cast("double")}))
+    return store.load_prices(db=db).select("date", "ticker", "close", "adj_close")
+
+
+@query("release_prices", f"WITH {PRICE_SQL} SELECT date, ticker, close, adj_close FROM p WHERE ticker <> '3'")
+def _release_prices(spark, sf_dir):
+    """A release saved over an earlier one, and read without its tag."""
+    db = store.get_catalog(spark, path=_folder(spark), read_only=False)
+    p = prices(spark, sf_dir)
+    store.save_qlib_prices(db=db, prices=p.where("ticker = '3'").drop("adj_close"), release_tag="2024-01-01")
+    store.save_qlib_prices(db=db, prices=p.where("ticker <> '3'"), release_tag="2024-02-01")
+    return store.load_qlib_prices(db=db)
+
+
+@query(
+    "stored_fundamentals",
+    f"""WITH {FACT_SQL} SELECT ticker, field, accn, value FROM f WHERE NOT (ticker IN ('T01', 'T02') AND field = 'revenue')
+UNION ALL SELECT ticker, field, accn, value + 1 FROM f WHERE ticker = 'T01' AND field = 'revenue'""",
+)
+def _stored_fundamentals(spark, sf_dir):
+    """Facts saved, one scope of them saved again, and read by the point-in-time reader."""
+    db = store.get_catalog(spark, path=_folder(spark), read_only=False)
+    known = facts(spark, sf_dir)
+    bad = known.where("value is null")
+    store.save_fundamentals(db, known, bad, [f"T{k:02d}" for k in range(8)], ["revenue", "net_income"])
+    again = known.where("ticker = 'T01' AND field = 'revenue'").withColumn("value", F.col("value") + 1)
+    store.save_fundamentals(db, again, bad, ["T01", "T02"], ["revenue"])
+    return pit.load_fundamentals(db.read("fundamentals")).select("ticker", "field", "accn", "value")

@@ -77,8 +77,10 @@ def read_qlib_prices(
         if not _exists(spark, f"{root}/instruments/{market.lower()}.txt"):
             raise FileNotFoundError(f"no market {market}")
         lines = spark.read.csv(f"{root}/instruments/{market.lower()}.txt", sep="\t", schema="ticker string, first date, last date")
-        members = lines.select(F.upper("ticker").alias("ticker"), "first", "last")
-        pattern = f"{root}/features/*/*.day.bin"
+        members = lines.select(F.upper("ticker").alias("ticker"), "first", "last").where((F.col("first") <= last) & (F.col("last") >= first))
+        # only the files of members are opened; their list is one small file, as the calendar is
+        folders = sorted({r["ticker"].lower() for r in members.select("ticker").collect()})
+        pattern = f"{root}/features/{{{','.join(folders)}}}/*.day.bin"
     else:
         if not isinstance(tickers, (str, Sequence)):
             raise TypeError("tickers must be a ticker or a list of them")
@@ -120,6 +122,9 @@ def read_qlib_prices(
                         names=["date", "ticker", "field", "value"],
                     )
 
+    if market is not None and (not folders or not _exists(spark, pattern)):
+        empty = ", ".join(["date date", "ticker string", *[f"`{n}` float" for n in fields]])
+        return spark.createDataFrame([], empty)
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")
     long = files.mapInArrow(run, "date date, ticker string, field string, value float")
     if members is not None:

@@ -169,6 +169,7 @@ def save_prices(db: Catalog, prices: DataFrame) -> None:
 def save_qlib_prices(*, db: Catalog, prices: DataFrame, release_tag: str) -> None:
     """Replace the daily table of a release, its schema included; float columns keep their width, NaN becomes null.
 
+    Rows of a DataFrame have no order, so none is asked for: the table is written by ticker and date.
     Empty panels, times within a day, blank tickers, repeated keys, column names that repeat in any case or are
     reserved, columns that aren't real numbers and infinite values are ValueErrors.
     """
@@ -196,7 +197,13 @@ def save_qlib_prices(*, db: Catalog, prices: DataFrame, release_tag: str) -> Non
         raise ValueError("the panel is empty or has times, blank tickers or infinite values")
     assert_unique(prices, KEYS, "(date, ticker)")
     clean = [F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`") for f in values]
-    db.commit({"qlib_prices": prices.select(F.to_date("date").alias("date"), "ticker", *clean, F.lit(release_tag).alias("release_tag"))})
+    table = prices.select(F.to_date("date").alias("date"), "ticker", *clean, F.lit(release_tag).alias("release_tag"))
+    db.commit({"qlib_prices": table.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date")})
 
 
-__all__ = ["Catalog", "get_catalog", "load_prices", "load_constituents", "save_fundamentals", "save_members", "save_prices", "save_qlib_prices"]
+def load_qlib_prices(*, db: Catalog, tickers=None, start=None, end=None) -> DataFrame:
+    """The stored daily table without its release tag, both bounds inclusive."""
+    return select_prices(db.read("qlib_prices").drop("release_tag"), tickers, start, end).orderBy("ticker", "date")
+
+
+__all__ = ["Catalog", "get_catalog", "load_prices", "load_constituents", "load_qlib_prices", "save_fundamentals", "save_members", "save_prices", "save_qlib_prices"]

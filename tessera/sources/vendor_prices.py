@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,8 +15,9 @@ from .store import PRICES
 HEADERS = {"Date": "date", "Datetime": "date", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adj_close", "Volume": "volume"}
 
 
-def clean_vendor_prices(df: DataFrame, ticker: str | None = None, *, auto_adjust: bool = False) -> DataFrame:
-    """The eight price columns: numbers read leniently, rows without a close left out, time zones dropped.
+def clean_vendor_prices(df: DataFrame, ticker: str | None = None, *, auto_adjust: bool = False, intraday: bool = False) -> DataFrame:
+    """The eight price columns: numbers read leniently, rows without a close left out, time zones dropped. ``date`` is a
+    day, or a time within a day if ``intraday``.
 
     ``adj_close`` is the close only where the vendor adjusted already; it is never made up from a raw close.
     """
@@ -28,7 +30,8 @@ def clean_vendor_prices(df: DataFrame, ticker: str | None = None, *, auto_adjust
         if f.name not in out.columns:
             out = out.withColumn(f.name, F.lit(None).cast("string"))
     kind = out.schema["date"].dataType
-    day = F.col("date").cast("timestamp_ntz").cast("date") if isinstance(kind, T.TimestampType) else F.to_date("date")
+    time = F.col("date").cast("timestamp_ntz")
+    day = time if intraday else time.cast("date") if isinstance(kind, T.TimestampType) else F.to_date("date")
     numbers = []
     for f in PRICES.fields[2:]:
         value = F.expr(f"try_cast(`{f.name}` AS double)")
@@ -39,9 +42,11 @@ def clean_vendor_prices(df: DataFrame, ticker: str | None = None, *, auto_adjust
 def get_prices(fetch: Callable[..., DataFrame], tickers: str | list[str], start, end=None, *, interval: str = "1d", auto_adjust: bool = False) -> DataFrame:
     """Vendor prices from start up to before ``end``, cleaned; tickers that the vendor lacks are simply absent."""
     names = [tickers] if isinstance(tickers, str) else list(tickers)
-    found = clean_vendor_prices(fetch(names, start, end, interval=interval, auto_adjust=auto_adjust), auto_adjust=auto_adjust)
-    found = found.where(F.col("ticker").isin(names) & (F.col("date") >= F.lit(start).cast("date")))
-    return (found if end is None else found.where(F.col("date") < F.lit(end).cast("date"))).orderBy("ticker", "date")
+    intraday = re.fullmatch(r"\d+[mh]", interval) is not None  # minutes and hours; mo is a month
+    found = clean_vendor_prices(fetch(names, start, end, interval=interval, auto_adjust=auto_adjust), auto_adjust=auto_adjust, intraday=intraday)
+    at = found.schema["date"].dataType
+    found = found.where(F.col("ticker").isin(names) & (F.col("date") >= F.lit(start).cast(at)))
+    return (found if end is None else found.where(F.col("date") < F.lit(end).cast(at))).orderBy("ticker", "date")
 
 
 def missing_tickers(prices: DataFrame, tickers: DataFrame) -> DataFrame:

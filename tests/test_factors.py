@@ -176,3 +176,20 @@ def test_buckets_as_pandas_cuts_them(spark, n):
     merged = data.assign(want=want).merge(found.assign(date=found["date"]), on=["date", "ticker"])
     a, b = merged["want"].to_numpy(float), merged["bucket"].to_numpy(float)
     assert ((a == b) | (np.isnan(a) & np.isnan(b))).all()
+
+
+def test_panels_are_checked_and_aligned(spark):
+    good = panel(spark, {"A": [1, None], "B": [2, 3]}, "x")
+    assert panels.to_panel(good, "f").count() == 4
+    for wrong, name, error in [(good, 5, TypeError), (good, " ", ValueError), (good.unionByName(good), "f", ValueError), (good.withColumn("ticker", F.nullif("ticker", F.lit("A"))), "f", ValueError)]:
+        with pytest.raises(error):
+            panels.to_panel(wrong, name)
+    other = panel(spark, {"B": [7], "C": [8]}, "y", start=1)
+    both = {(r["ticker"], r["date"]): (r["x"], r["y"]) for r in panels.align(good, other).collect()}
+    assert both == {("A", day(0)): (1, None), ("A", day(1)): (None, None), ("B", day(0)): (2, None), ("B", day(1)): (3, 7), ("C", day(1)): (None, 8)}
+    with pytest.raises(ValueError):
+        panels.align(good, good)
+    with pytest.raises(Exception, match="repeats"):
+        panels.align(good.unionByName(good), other).collect()
+    wide = panels.to_wide(good, "x", ["A", "B", "Z"])
+    assert {(r["date"], r["ticker"]): r["x"] for r in panels.to_long(wide, "x").collect()}[day(1), "A"] is None and wide.count() == 2

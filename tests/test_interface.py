@@ -79,12 +79,12 @@ def test_quarters_are_derived_from_every_order(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
-    found = catalogue.QUERIES["derive_quarters_whole"](spark, str(tmp_path))
+    found = catalogue.QUERIES["derive_quarters"](spark, str(tmp_path))
     columns = sorted(found.columns)
     rows = found.collect()
     assert {r["accn"] for r in rows if not r["derived"]} == {f"{k:010d}" for k in range(4000)}
     got = sorted((tuple(map(str, (r[c] for c in columns))) for r in rows))
-    want = sorted(tuple(map(str, x)) for x in con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES['derive_quarters_whole']})").fetchall())
+    want = sorted(tuple(map(str, x)) for x in con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES['derive_quarters']})").fetchall())
     assert sum(r["derived"] for r in rows) > 50 and got == want
 
 

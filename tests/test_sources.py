@@ -100,6 +100,8 @@ def test_html_tables(spark):
     ]
     changes = [tuple(r) for r in html_tables.parse_changes(spark, HTML).collect()]
     assert changes == [(D("2024-03-01"), "", "", "X", "Ex", ""), (D("2024-01-22"), "A-B", "Ab", "", "", "why")]
+    assert html_tables.plain("a [1] b [open") == "a b [open" and html_tables.header_name(["GICS[3] Sub-Industry", "GICS Sub-Industry", ""]) == "gics_sub_industry"
+    assert html_tables.day_of("on Sep 5, 2001") == D("2001-09-05") and html_tables.day_of("Smarch 5, 2001") is None
     for wrong in ("<p>no table</p>", "<table><tr><th>a</th></tr></table>"):
         with pytest.raises(ValueError):
             html_tables.parse_constituents(spark, wrong)
@@ -117,6 +119,15 @@ def test_vendor_prices(spark):
     assert vendor_prices.get_prices(fetch, ["A", "B"], "2024-01-01", "2024-01-02").count() == 1
 
 
+def test_vendor_prices_within_a_day(spark):
+    rows = [(f"2024-01-0{d} {h}:30:00", float(d), "A") for d in (1, 2) for h in (10, 11)]
+    wide = spark.createDataFrame(rows, ["Datetime", "Close", "ticker"]).withColumn("Datetime", F.to_timestamp("Datetime"))
+    fetch = lambda names, start, end, **_: wide
+    found = vendor_prices.get_prices(fetch, "A", "2024-01-01", "2024-01-02", interval="1h")
+    assert [str(r["date"]) for r in found.collect()] == ["2024-01-01 10:30:00", "2024-01-01 11:30:00"]
+    assert dict(vendor_prices.get_prices(fetch, "A", "2024-01-01", interval="1mo").dtypes)["date"] == "date"
+
+
 @pytest.fixture
 def provider(tmp_path):
     for d in ("calendars", "instruments", "features/sh600000", "features/sz000001"):
@@ -139,7 +150,11 @@ def test_binary_prices(spark, provider, db):
     assert got["SH600000", "2024-01-03"]["close"] is None and got["SZ000001", "2024-01-04"]["zeta"] is None
     market = qlib.read_qlib_prices(spark, data_dir=provider, start="2024-01-02", end="2024-01-04", market="CSI300")
     assert sorted((r["ticker"], str(r["date"])) for r in market.collect()) == [("SH600000", "2024-01-02"), ("SH600000", "2024-01-03"), ("SZ000001", "2024-01-04")]
+    none = qlib.read_qlib_prices(spark, data_dir=provider, start="2023-01-01", end="2023-12-31", market="csi300")
+    assert none.columns == market.columns and none.count() == 0
+    open(f"{provider}/features/other.day.bin", "w").close()
     store.save_qlib_prices(db=db, prices=found, release_tag="2024-10-07")
+    assert store.load_qlib_prices(db=db, tickers="sz000001").columns == found.columns
     stored = db.read("qlib_prices")
     assert stored.where("release_tag = '2024-10-07'").count() == 6 and dict(stored.dtypes)["close"] == "float"
 
