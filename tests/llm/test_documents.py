@@ -234,13 +234,91 @@ def random_texts():
     return ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randrange(60))) for _ in range(200)]
 
 
-def test_base_counts_as_brute_force(monkeypatch):
+@pytest.mark.parametrize("piece", [8, 64, 1 << 30])
+def test_base_counts_as_brute_force(piece):
     texts = random_texts() + [t for _, t in EDGE]
     found = quality.analyse(*flat(pa.array(texts, pa.string())))
     assert found.counts.tolist() == [brute_counts(t) for t in texts]
-    monkeypatch.setattr(quality, "PIECE", 8)
     for t in texts[:80]:
-        assert quality.analyse(*flat(pa.array([t], pa.string()))).counts.tolist() == [brute_counts(t)]
+        assert quality.analyse(*flat(pa.array([t], pa.string())), piece).counts.tolist() == [brute_counts(t)]
+
+
+def brute_lines(text):
+    """(word characters, features) of each line with a word, from its characters."""
+    lines = [t for t in text.split("\n") if WORD.search(t)]
+    total = sum(len(w) for w in WORD.findall(text))
+    out = []
+    for k, line in enumerate(lines):
+        w = WORD.findall(line)
+        n, chars = len(w), sum(map(len, w))
+        upper = sum("A" <= c <= "Z" or "\xc0" <= c <= "\xde" for c in line)
+        letters = max(1, sum("A" <= c <= "Z" or "a" <= c <= "z" or ord(c) > 127 for c in line))
+        symbols, ends = sum(c in "#*$%&|<>" for c in line), sum(x[-1] in ".!?:;" for x in w)
+        again = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        sentence, share, digits = n / (ends + 1), chars / total, sum(c in "0123456789" for c in line)
+        x = [True, n <= 2, 2 < n <= 5, 5 < n <= 10, n > 10, upper / letters > 0.2, upper / letters > 0.5, upper / letters > 0.8]
+        x += [symbols / n > 0.1, symbols / n > 0.5, line.count("|") / n > 0.2, line.count("!") / n > 0.2, line.count("!") / n > 0.6]
+        x += [again / n > 0.1, again / n > 0.4, ends == 0, ends / n > 0.4, sentence > 25, sentence > 60, digits / chars > 0.2, chars / n > 9, chars / n < 3]
+        x += [line in lines[:k], k == 0, k == len(lines) - 1, w[-1][-1] not in ".!?:;", share >= 0.5, share >= 0.2, share < 0.05, share < 0.01]
+        out.append((chars, x))
+    return out
+
+
+@pytest.mark.parametrize("piece", [8, 64, 1 << 30])
+def test_lines_as_brute_force_wherever_pieces_end(piece):
+    for t in [*random_texts(), "one line " * 50 + "\n" + "same same\n" * 30 + "one line " * 50, *[t for _, t in EDGE if t and len(t) < 20_000]]:
+        found = quality.analyse(*flat(pa.array([t], pa.string())), piece)
+        want = brute_lines(t)
+        assert found.chars.tolist() == [c for c, _ in want]
+        assert found.features.tolist() == [x for _, x in want]
+
+
+def brute_kept(text, field):
+    """The verdict on a whole text, by features from characters and a search over both labels of each line."""
+    counts = brute_counts(text)
+    if counts[0] < 10 or 100 * counts[4] > 20 * counts[0]:
+        return False
+    lines = brute_lines(text)
+    ways = {y: (y * np.dot(lines[0][1], field.weights), [y]) for y in (0, 1)}
+    for _, x in lines[1:]:
+        e = np.dot(x, field.weights)
+        ways = {y: max((s + field.moves[z, y] + y * e, [*way, y]) for z, (s, way) in ways.items()) for y in (0, 1)}
+    best = max(ways.values())[1]
+    return sum(c * y for (c, _), y in zip(lines, best, strict=True)) >= 0.5 * sum(c for c, _ in lines)
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 30])
+def test_verdicts_as_brute_force(spark, monkeypatch, piece):
+    """Documents of good and bad lines in all shares, trained and judged whatever the size of pieces."""
+    r = random.Random(5)
+    good = lambda: " ".join(r.choice("river stone quiet garden letter window house over under".split()) for _ in range(r.randrange(8, 16))).capitalize() + "."
+    bad = lambda: " | ".join(r.choice("home login cart help".split()) + str(r.randrange(99)) for _ in range(r.randrange(6, 12)))
+    common = ["Read more of this.", "All rights reserved by the owners of this site.", "Follow us today!"]
+    rows, labels = [], []
+    for k in range(200):
+        share = r.choice([0, 0, 0.4, 0.7, 1, 1, 1])
+        lines = [(good if r.random() < share else bad)() for _ in range(r.randrange(3, 9))] + r.sample(common, r.randrange(3))
+        r.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+        if share in (0, 1):
+            labels.append((k, int(share), 0))
+    rows += [(1000, "\n".join(good() for _ in range(3000))), (1001, (bad() + "\n") * 2 + " ".join(good() for _ in range(3000))), (1002, rows[0][1]), (1002, rows[0][1])]
+    docs, table = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([*labels, (labels[0][0], 0, 0)], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(quality, "PIECE", piece)
+    field = quality.train(docs, table)
+    found = quality.quality(docs, field).collect()
+    assert Counter((x["doc_id"], x["kept"]) for x in found) == Counter((k, brute_kept(t, field)) for k, t in rows)
+    assert len({round(x["content_share"], 2) for x in found} - {0, 1}) > 20  # lines are told apart, not documents
+    same = quality.train(docs.repartition(3), table.unionByName(table).orderBy("quality"))
+    assert (same.weights == field.weights).all() and (same.moves == field.moves).all()
+
+
+def test_what_makes_a_line_common():
+    hashes = np.array([1, 2, 1, 3, 1, 4, 1, 5, 9, 9, 9], np.uint64)
+    owner = np.array([0, 0, 1, 1, 2, 2, 3, 3, 4, 5, 6])
+    chars = np.array([5, 90, 5, 90, 5, 90, 5, 90, 30, 30, 30])
+    found = quality.line_labels(hashes, owner, chars, np.array([1, 1, 0, 0, 1, 1, 0]))
+    assert found.tolist() == [0, 1, 0, 1, 0, quality.HIDDEN, 0, quality.HIDDEN, 1, 1, quality.HIDDEN]  # copies alone aren't common
 
 
 def test_viterbi_and_marginals_as_by_enumeration():
@@ -252,7 +330,7 @@ def test_viterbi_and_marginals_as_by_enumeration():
     labels = field.decode(x, owner)
     e = x @ field.weights
     first, n = field._ragged(owner)
-    p, _ = field._marginals(e, field.moves, first, n)
+    p, _ = field._marginals(field._chances(e), field.moves, first, n)
     at = 0
     for size in sizes:
         scores = {}
