@@ -3,11 +3,15 @@
 Distinct pre-tokens are held as ragged numpy arrays: one flat array of symbol ids and the index of each symbol's
 sequence. In every round each sequence finds its lowest-rank adjacent pair and applies all its occurrences at
 once, all sequences together; a sequence without a mergeable pair leaves, and its surviving symbols are counted.
+
+A sequence of very many symbols, as a text without a space is, goes through the same rounds by itself: only the places
+that a round has changed are looked up again, so its cost follows its merges and not rounds times length.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -25,6 +29,8 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 NEVER = np.int32(2**31 - 1)
 #: Symbols that are merged at once.
 SYMBOLS = 1 << 20
+#: A sequence of more symbols is merged by itself.
+LONG = 4096
 
 
 def default_vocabulary() -> str:
@@ -91,6 +97,7 @@ class Counter:
         right = np.array([vocab[b] for _, b in merges], np.int64)
         done = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.width = np.int64(max(vocab.values()) + 1)
+        self.done = done
         self.pairs = PairTable(left * self.width + right, np.arange(len(merges), dtype=np.int32), done)
         self.of_byte = np.zeros(256, np.int32)
         for symbol, byte in byte_symbols().items():
@@ -135,11 +142,62 @@ class Counter:
         ids, owner = np.concatenate(kept_ids), np.concatenate(kept_owner)
         return ids[np.argsort(owner, kind="stable")], counts
 
+    def merge_long(self, sequence: bytes) -> np.ndarray:
+        """The surviving ids of one sequence: places linked to their neighbours, and for each rank the places where a
+        pair of that rank has come up, lowest rank first."""
+        ids = self.of_byte[np.frombuffer(sequence, np.uint8)].astype(np.int64)
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive, rank = np.ones(n + 1, bool), np.full(n + 1, NEVER, np.int32)
+        alive[n] = False
+        came_up: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            pair = ids[at] * self.width + ids[after[at]]
+            slot = self.pairs.find(pair)
+            found = np.where(self.pairs.keys[slot] == pair, self.pairs.rank[slot], NEVER)
+            rank[at] = found
+            order = np.argsort(found, kind="stable")
+            order = order[: np.searchsorted(found[order], NEVER)]
+            if not len(order):
+                return
+            heads = np.flatnonzero(np.r_[True, found[order][1:] != found[order][:-1]])
+            for r, places in zip(found[order[heads]].tolist(), np.split(at[order], heads[1:]), strict=True):
+                if r not in came_up:
+                    came_up[r] = []
+                    heapq.heappush(heap, r)
+                came_up[r].append(places)
+
+        if n > 1:
+            look(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(came_up.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+            at = at[place % 2 == 0]  # of overlapping occurrences every second one counts from the left
+            gone = after[at]
+            ids[at] = self.done[r]
+            alive[gone], rank[gone] = False, NEVER
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            rank[at] = NEVER
+            look(np.unique(np.concatenate([at[inner], before[at][before[at] >= 0]])))
+        return ids[alive[:n]]
+
     def count_pieces(self, pieces: list[str]) -> np.ndarray:
         """Tokens of each piece without special tokens in it."""
         found = [[w.encode() for w in PRETOKEN.findall(p)] for p in pieces]
         words = sorted({w for ws in found for w in ws}, key=len)
         tokens: dict[bytes, int] = {}
+        while words and len(words[-1]) > LONG:
+            word = words.pop()
+            tokens[word] = len(self.merge_long(word))
         first = 0
         while first < len(words):  # slices of like lengths and bounded size
             last, size = first, 0

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -47,6 +48,25 @@ def test_long_texts_and_a_small_memory(libraries, monkeypatch):
         assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+@settings(max_examples=60, deadline=None)
+@given(word=st.text(st.sampled_from("aabbthein gsé日"), min_size=1, max_size=200))
+def test_a_sequence_by_itself_merges_as_together(word):
+    tool = token_counts.counter(token_counts.default_vocabulary())
+    together, _ = tool.merge([word.encode()])
+    assert tool.merge_long(word.encode()).tolist() == together.tolist()
+
+
+def test_very_long_words(libraries):
+    r = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    texts = ["".join(r.choice(letters, 150_000)), "a" * 50_001, "the" * 20_000, "日本" * 5_000, "ab" * 3_000 + " end"]
+    tool = token_counts.Counter(token_counts.default_vocabulary())
+    start = time.perf_counter()
+    got = tool.count(*flat(pa.array(texts, pa.string())))
+    assert time.perf_counter() - start < 20
+    assert got.tolist() == [len(e.ids) for e in libraries["byte_bpe_50k.json"].encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts_of_edges(spark, edge, libraries):
     found = sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.token_counts(edge).collect()), key=str)
     library = libraries["byte_bpe_50k.json"]
