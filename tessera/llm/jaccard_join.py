@@ -9,12 +9,14 @@ The Jaccard distance d = 1 - |x & y| / |x | y| of shingle sets is a metric; two
    set's. All points with such a shingle in common form a cell around their least point, the pivot; cells with one
    pivot are one region. A point at a border lies in several cells and is replicated to all their regions, so two
    linked points meet in at least one region.
-3. In a region every point's distance to the pivot is taken. Points within eps are linked to it and thereby to each
-   other; a point outside can only link to points y with |d(x, p) - d(y, p)| <= eps, the window that the triangle
-   inequality leaves. The region joins recursively: points outside become pivots in turn, until those not yet
-   compared with everything are known to be connected.
-4. A region too large for one task is split by its pivot in Spark: the points outside are compared with the ball in
-   blocks of bounded size and go on as a smaller region.
+3. A region too large for one task is divided again, by distance: points of it become pivots, every point is assigned
+   to its nearest one (Voronoi), if that is nearer than NEAR, and is replicated to the cells of other pivots where the
+   triangle inequality leaves it a partner. With linked x of cell p and y at home elsewhere, d(y, p) <= d(x, p) + eps
+   < NEAR + eps, and d(y, p) <= d(y, home) + 2 eps. Points within eps of a pivot are linked through it and are not
+   compared with each other. Points far from all pivots are a region of their own, for which that is repeated with
+   other pivots ROUNDS times. What is too large even then is dealt into blocks, and each pair of blocks is one task.
+4. In a task distances to a pivot and the windows that the triangle inequality leaves are used once more: points become
+   pivots in turn, until those not yet compared with everything are known to be connected.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -39,9 +42,13 @@ SHINGLE = 5
 #: Similarity of linked sets at least, as (up, down): 100 * shared >= 75 * union.
 SIMILAR = (3, 4)
 #: Shingles counted together in one task, shingles and sets packed together, and points of a region that one task joins.
-RANGE_SHINGLES, PACK_SHINGLES, PACK_SETS, REGION_POINTS = 1 << 20, 2 << 20, 60_000, 20_000
-#: Bytes of points outside that are compared with a ball at once.
-BLOCK_BYTES = 32 << 20
+RANGE_SHINGLES, PACK_SHINGLES, PACK_SETS, REGION_POINTS = 1 << 20, 2 << 20, 60_000, 4_000
+#: Bytes of shingles that count as one more point, so that long texts don't make a task large.
+POINT_BYTES = 8_000
+#: Pivots of a region that is divided, about; points nearer than NEAR to one belong to its cell; rounds of dividing.
+PIVOTS, NEAR, ROUNDS = 32, 0.5, 2
+#: Roles in a cell: linked to its pivot, at home but not linked, at home elsewhere.
+BALL, HOME, VISITOR = 0, 1, 2
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -169,7 +176,7 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_packed(out)])
 
 
-_POINTS = "home bigint, set binary, n bigint, ids binary, border array<bigint>"
+_POINTS = "home bigint, set binary, n bigint, ids binary, border array<bigint>, load bigint"
 
 
 def _identity(low: np.ndarray, part: int | np.ndarray, bits: int) -> np.ndarray:
@@ -219,8 +226,9 @@ def _points(group: pa.Table, bits: int) -> pa.Table:
         pa.array(np.concatenate(borders) if borders else np.empty(0, np.int64)),
     )
     home = pa.array([group.column("home")[0].as_py()] * len(names), pa.int64())
-    arrays = [home, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), border]
-    return pa.Table.from_arrays(arrays, names=["home", "set", "n", "ids", "border"])
+    load = pa.array([1 + len(x) // POINT_BYTES for x in ids], pa.int64())
+    arrays = [home, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), border, load]
+    return pa.Table.from_arrays(arrays, names=["home", "set", "n", "ids", "border", "load"])
 
 
 def least_overlap(n: int) -> int:
@@ -234,6 +242,9 @@ def links_to(shared: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
     return shared * down >= (n + others - shared) * up
 
 
+EPS = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
+
+
 class Region:
     """Points in memory: joins them exactly, but for pairs that are connected through others."""
 
@@ -242,6 +253,11 @@ class Region:
         found = [np.frombuffer(x, np.uint64) for x in ids]
         self.bounds = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
         self.every = np.concatenate(found) if found else np.empty(0, np.uint64)
+        order = np.argsort(self.every, kind="stable")
+        ordered = self.every[order]
+        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+        self.names, self.starts = ordered[heads], np.r_[heads, len(ordered)]
+        self.holders = np.repeat(np.arange(len(found), dtype=np.int32), np.diff(self.bounds))[order]
 
     def shared(self, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Shingles that a sorted set has in common with each of these points."""
@@ -259,105 +275,183 @@ class Region:
     def ids(self, k: int) -> np.ndarray:
         return self.every[self.bounds[k] : self.bounds[k + 1]]
 
-    def join(self) -> list[tuple[int, int]]:
-        """Links (row, row) that connect all points which any chain of links connects."""
+    def candidates(self, k: int) -> np.ndarray:
+        """The points that have one of those shingles of which any point linked to the k-th one must have one: the
+        fewest that suffice, taken from those that the fewest points have."""
+        own = np.searchsorted(self.names, self.ids(k))
+        holders = self.starts[own + 1] - self.starts[own]
+        reach = len(own) - least_overlap(int(self.n[k])) + 1
+        if reach <= 0:
+            return np.empty(0, np.int64)
+        rare = own[np.argsort(holders, kind="stable")[:reach]]
+        return np.unique(np.concatenate([self.holders[self.starts[i] : self.starts[i + 1]] for i in rare.tolist()])).astype(np.int64)
+
+    def distances(self, own: np.ndarray, n: int) -> np.ndarray:
+        """The distance of every point to a set."""
+        at = np.searchsorted(self.names, own)
+        there = at < len(self.names)
+        there[there] = self.names[at[there]] == own[there]
+        at = at[there]
+        holders = [self.holders[self.starts[i] : self.starts[i + 1]] for i in at.tolist()]
+        shared = np.bincount(np.concatenate(holders), minlength=len(self.n)) if holders else np.zeros(len(self.n), np.int64)
+        return 1 - shared / (self.n + n - shared)
+
+    def join(self, linked: np.ndarray | None = None, key: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links (row, row) that connect all points which any chain of links connects. Points that are ``linked`` are
+        known to be connected; only pairs with a ``key`` point matter."""
         label = np.arange(len(self.sets))
+        if linked is not None and linked.any():
+            label[linked] = np.flatnonzero(linked)[0]
         open_ = np.ones(len(self.sets), bool)
         links: list[tuple[int, int]] = []
-        eps = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
-        first = np.zeros(0)
-        pivot = 0
-        while True:
+        if len(self.sets) < 2:
+            return links
+        first = self.distances(self.ids(0), int(self.n[0]))
+        first[0] = 0
+        names, counts = np.unique(label, return_counts=True)
+        left = dict(zip(names.tolist(), counts.tolist(), strict=True))
+        turn = np.argsort(-counts[np.searchsorted(names, label)], kind="stable")[::-1]  # points of small components first
+        for pivot in turn.tolist():
+            if len(left) == 1:
+                return links
             open_[pivot] = False
-            rows = np.flatnonzero(open_ & (label != label[pivot])) if len(first) else np.flatnonzero(open_)
+            own = int(label[pivot])
+            left[own] -= 1
+            if not left[own]:
+                del left[own]
+            rows = self.candidates(pivot)
+            rows = rows[open_[rows] & (label[rows] != own)]
+            if key is not None and not key[pivot]:
+                rows = rows[key[rows]]
+            # the window of the triangle inequality, and sizes that allow a link
             small, large = np.minimum(self.n[rows], self.n[pivot]), np.maximum(self.n[rows], self.n[pivot])
-            if len(first):  # the window of the triangle inequality, and sizes that allow a link
-                rows = rows[(np.abs(first[rows] - first[pivot]) <= eps) & (small * SIMILAR[1] >= large * SIMILAR[0])]
-            if len(rows):
-                shared = self.shared(self.ids(pivot), rows)
-                if not len(first):
-                    first = np.zeros(len(self.sets))
-                    first[rows] = 1 - shared / (self.n[rows] + self.n[pivot] - shared)
-                hits = rows[links_to(shared, self.n[pivot], self.n[rows])]
-                names, places = np.unique(label[hits], return_index=True)
-                links += [(pivot, k) for name, k in zip(names.tolist(), hits[places].tolist(), strict=True) if name != label[pivot]]
-                label[np.isin(label, names)] = label[pivot]
-            rest = label[open_]
-            if not len(rest):
-                return links
-            names, counts = np.unique(rest, return_counts=True)
-            if len(names) == 1:
-                return links
-            smallest = names[counts.argmin()]
-            pivot = int(np.flatnonzero(open_ & (label == smallest))[0])
-
-
-def _join_region(group: pa.Table) -> pa.Table:
-    """The points of one region -> links; the region's pivot is its least set."""
+            rows = rows[(np.abs(first[rows] - first[pivot]) <= EPS) & (small * SIMILAR[1] >= large * SIMILAR[0])]
+            if not len(rows):
+                continue
+            hits = rows[links_to(self.shared(self.ids(pivot), rows), self.n[pivot], self.n[rows])]
+            names, places = np.unique(label[hits], return_index=True)
+            links += [(pivot, k) for k in hits[places].tolist()]
+            for name in names.tolist():
+                label[label == name] = own
+                left[own] = left.get(own, 0) + left.pop(name)
+        return links
+
+
+def _join_task(group: pa.Table) -> pa.Table:
+    """The points of one task -> links. In a task of two blocks only pairs with a point of the key role matter."""
     group = group.sort_by("set")
-    sets = group.column("set").to_pylist()
-    links = Region(sets, group.column("n").to_numpy(), group.column("ids").to_pylist()).join()
+    sets, role, key = group.column("set").to_pylist(), group.column("role").to_numpy(), group.column("key_role")[0].as_py()
+    region = Region(sets, group.column("n").to_numpy(), group.column("ids").to_pylist())
+    links = region.join(group.column("linked").to_numpy(zero_copy_only=False), role != VISITOR if key is None else role == key)
     return pa.table({"a": pa.array([sets[i] for i, _ in links], pa.binary()), "b": pa.array([sets[k] for _, k in links], pa.binary())})
 
 
-def _split_large(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, set, n, ids) of regions too large for a task -> (links, the points outside their pivot's ball)."""
-    spark = points.sparkSession
-    pivots = points.groupBy("region").agg(F.min_by(F.struct("set", "n", "ids"), "set").alias("pivot"))
+def _load() -> Column:
+    """What a point weighs in a task: one, and one more for every POINT_BYTES."""
+    return F.lit(1) + F.floor(F.octet_length("ids") / POINT_BYTES)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = {"distance": [], "linked": []}
-            for n, ids, pivot in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                own = Region([b""], np.array([n]), [ids])
-                shared = own.shared(np.frombuffer(pivot["ids"], np.uint64), np.array([0]))
-                keep["distance"].append(float(1 - shared[0] / (n + pivot["n"] - shared[0])))
-                keep["linked"].append(bool(links_to(shared, pivot["n"], np.array([n]))[0]))
-            names = [p["set"] for p in batch.column(4).to_pylist()]
-            arrays = [batch.column(k) for k in range(4)] + [pa.array(names, pa.binary()), pa.array(keep["distance"], pa.float64()), pa.array(keep["linked"], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["region", "set", "n", "ids", "pivot", "distance", "linked"])
-
-    schema = "region bigint, set binary, n bigint, ids binary, pivot binary, distance double, linked boolean"
-    measured = written(points.select("region", "set", "n", "ids").join(pivots, "region").mapInArrow(measure, schema), "measured")
-    # ids lack the shingles that no other set has, so a pivot can seem far from itself: it goes by its name
-    ball, outside = measured.where("linked"), measured.where("not linked and set != pivot")
-    links = ball.where(F.col("set") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("set").alias("b"))
-    total = outside.agg(F.sum(F.octet_length("ids") + 64)).first()[0] or 0
-    eps = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
-    blocks = math.ceil(total / BLOCK_BYTES)
-    for block in range(blocks):
-        rows = outside.where(F.pmod(F.xxhash64("region", "set"), F.lit(blocks)) == block).select("region", "set", "n", "ids", "distance").collect()
-        by_region: dict[int, list] = {}
-        for r in rows:
-            by_region.setdefault(r["region"], []).append(r)
-        held = {
-            name: (Region([bytes(r["set"]) for r in rs], np.array([r["n"] for r in rs]), [bytes(r["ids"]) for r in rs]), np.array([r["distance"] for r in rs]))
-            for name, rs in by_region.items()
-        }
-        shared_block = spark.sparkContext.broadcast(held)
-
-        def compare(batches: Iterator[pa.RecordBatch], shared_block=shared_block) -> Iterator[pa.RecordBatch]:
-            done: set[tuple[int, int]] = set()  # one link to the ball is enough for a point
-            for batch in batches:
-                left, right = [], []
-                for region, name, n, ids, distance in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                    if region not in shared_block.value:
-                        continue
-                    points, far = shared_block.value[region]
-                    rows = [k for k in np.flatnonzero(np.abs(far - distance) <= eps).tolist() if (region, k) not in done]
-                    if not rows:
-                        continue
-                    rows = np.array(rows)
-                    hits = rows[links_to(points.shared(np.frombuffer(ids, np.uint64), rows), n, points.n[rows])]
-                    for k in hits.tolist():
-                        done.add((region, k))
-                        left.append(points.sets[k])
-                        right.append(name)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-        found = ball.select("region", "set", "n", "ids", "distance").mapInArrow(compare, "a binary, b binary")
-        links = links.unionByName(written(found, "ball_links"))
-    return links, outside.select("region", "set", "n", "ids")
+
+_CELLS = "region bigint, cell bigint, pivot binary, role int, linked boolean, set binary, n bigint, ids binary"
+
+
+def _assign(group: pa.Table) -> pa.Table:
+    """Some points of a region and all its pivots -> the points once for each cell that they belong to or visit; those far
+    from all pivots once, without a cell."""
+    group = group.sort_by("set")
+    chosen = group.column("is_pivot").to_numpy(zero_copy_only=False)
+    pivots, points = group.filter(pa.array(chosen)), group.filter(pa.array(~chosen))
+    sets, sizes, ids = points.column("set").to_pylist(), points.column("n").to_numpy(), points.column("ids").to_pylist()
+    out = {name: [] for name in ("pivot", "cell", "role", "linked", "row")}
+    if sets:
+        region = Region(sets, sizes, ids)
+        names, n_of = pivots.column("set").to_pylist(), pivots.column("n").to_pylist()
+        # ids lack the shingles that no other set has, so a pivot can seem far from itself: it goes by its name
+        far = np.full((max(1, len(names)), len(sets)), np.inf)
+        for p, (name, n, x) in enumerate(zip(names, n_of, pivots.column("ids").to_pylist(), strict=True)):
+            far[p] = np.where([s == name for s in sets], 0.0, region.distances(np.frombuffer(x, np.uint64), n))
+        home, nearest = far.argmin(axis=0), far.min(axis=0)
+        is_pivot = np.isin(np.array(sets, object), np.array(names, object))
+        for k, s in enumerate(sets):
+            if nearest[k] >= NEAR:
+                visits = np.flatnonzero(far[:, k] <= NEAR + EPS)
+                out["pivot"].append(None)
+                out["cell"].append(None)
+                out["role"].append(HOME)
+                out["linked"].append(False)
+                out["row"].append(k)
+            else:
+                visits = np.flatnonzero(far[:, k] <= min(NEAR, nearest[k] + EPS) + EPS)
+            for p in visits.tolist():
+                linked = bool(far[p, k] <= EPS)
+                if p == home[k] and nearest[k] < NEAR:
+                    role = BALL if linked else HOME
+                else:
+                    role = VISITOR
+                # a pivot has been compared with everything: it stays for its links' sake elsewhere only
+                if not (is_pivot[k] and names[p] == s):
+                    out["pivot"].append(names[p])
+                    out["cell"].append(int.from_bytes(names[p][:8], "little", signed=True))
+                    out["role"].append(role)
+                    out["linked"].append(linked)
+                    out["row"].append(k)
+    rows = np.array(out["row"], np.int64)
+    found = points.select(["region", "set", "n", "ids"]).take(pa.array(rows))
+    columns = {"region": found.column("region"), "cell": pa.array(out["cell"], pa.int64()), "pivot": pa.array(out["pivot"], pa.binary())}
+    columns |= {"role": pa.array(out["role"], pa.int32()), "linked": pa.array(out["linked"], pa.bool_())}
+    return pa.table(columns | {c: found.column(c) for c in ("set", "n", "ids")})
+
+
+def _single(points: DataFrame, cell: Column, role: Column, linked: Column) -> DataFrame:
+    """Regions or cells that are one task each."""
+    zero, none = F.lit(0), F.lit(None).cast("int")
+    return points.select("region", cell.alias("cell"), zero.alias("i"), zero.alias("j"), zero.alias("kind"), none.alias("key_role"), role.alias("role"), linked.alias("linked"), "set", "n", "ids")
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """Points (region, cell, role, linked, set, n, ids, ball_blocks, other_blocks) of what is too large for a task, once
+    for each pair of blocks that must be compared: those of a ball with those of other points, and the latter with each
+    other."""
+    name = lambda n: F.pmod(F.xxhash64("set", F.lit(7)), n).cast("int")
+    ball, mine = F.col("role") == BALL, F.when(F.col("role") == BALL, name(F.col("ball_blocks"))).otherwise(name(F.col("other_blocks")))
+    rows = points.withColumn("own", mine)
+    none = F.array().cast("array<struct<i:int,j:int,kind:int,key_role:int>>")
+    task = lambda i, j, kind, key: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(kind).alias("kind"), F.lit(key).cast("int").alias("key_role"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
+    own = F.col("own")
+    with_others = F.transform(upto("other_blocks"), lambda j: task(own, j, 1, BALL))
+    with_ball = F.transform(upto("ball_blocks"), lambda i: task(i, own, 1, BALL))
+    among = F.transform(upto("other_blocks"), lambda j: task(F.least(own, j), F.greatest(own, j), 2, HOME))
+    tasks = F.when(ball, with_others).otherwise(F.concat(with_ball, among))
+    rows = rows.withColumn("task", F.explode(F.coalesce(tasks, none)))
+    return rows.select("region", "cell", "task.i", "task.j", "task.kind", "task.key_role", "role", "linked", "set", "n", "ids")
+
+
+def _divided(points: DataFrame, large: DataFrame, region_points: int, turn: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Points of large regions (region, set, n, ids) and their loads (region, load, points) -> (links to pivots, tasks, points far
+    from all pivots)."""
+    name = F.xxhash64("set", F.lit(turn))
+    salts = F.ceil(F.col("load") / region_points).cast("int")
+    rows = points.join(large, "region").withColumn("salts", salts)
+    share = F.lit(float(PIVOTS)) / F.col("points")
+    pivots = rows.where(F.pmod(name, F.lit(1 << 30)) < share * (1 << 30))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("set", F.lit(11)), F.col("salts")).cast("int"))
+    columns = ["region", "salt", "set", "n", "ids"]
+    both = dealt.select(*columns, F.lit(False).alias("is_pivot")).unionByName(pivots.select(*columns, F.lit(True).alias("is_pivot")))
+    found = written(both.groupBy("region", "salt").applyInArrow(lambda t: _assign(t), _CELLS), "cells")
+    links = found.where("linked").select(F.col("pivot").alias("a"), F.col("set").alias("b"))
+    cells = found.where("cell is not null")
+    of = lambda when: F.coalesce(F.sum(F.when(when, _load())), F.lit(0))
+    role = F.col("role")
+    sums = cells.groupBy("region", "cell").agg(of(role == BALL).alias("ball"), of(role != BALL).alias("others"), of(role != VISITOR).alias("home"))
+    half = max(1, region_points // 2)
+    blocks = {n: F.ceil(F.col(c) / half).cast("bigint") for n, c in (("ball_blocks", "ball"), ("other_blocks", "others"))}
+    sums = written(sums.where("others > 0 and home > 0").withColumns(blocks), "cell_sizes")
+    fits = F.col("ball") + F.col("others") <= region_points
+    one = cells.join(sums.where(fits).select("region", "cell"), ["region", "cell"])
+    many = cells.join(sums.where(~fits).select("region", "cell", "ball_blocks", "other_blocks"), ["region", "cell"])
+    tasks = [_single(one, F.col("cell"), role, F.col("linked")), _blocks(many)]
+    return links, tasks, found.where("cell is null").select("region", "set", "n", "ids")
 
 
 def similar_sets(documents: DataFrame, total: int, text: str = "text", size: int = SHINGLE, region_points: int = REGION_POINTS) -> DataFrame:
@@ -374,28 +468,37 @@ def similar_sets(documents: DataFrame, total: int, text: str = "text", size: int
     # a plain join of two exchanges: AQE splits a cell that a common shingle makes large
     members = cells.join(spans, "shingle").select("region", "point").distinct()
     # a set that several homes have is taken from one of them
-    chosen = points.groupBy("set").agg(F.min("home").alias("home")).withColumn("point", F.xxhash64("set"))
-    members = written(members.join(chosen, "point").select("region", "set", "home"), "members")
-    sizes = members.groupBy("region").count()
-    placed = members.join(points.select("set", "home", "n", "ids"), ["set", "home"]).select("region", "set", "n", "ids")
-    large = sizes.where(F.col("count") > region_points).select("region")
-    links = None
-    if large.limit(1).count():
-        large = written(large, "large")
-        rest = written(placed.join(large, "region", "left_semi"), "large_points")
-        placed = placed.join(large, "region", "left_anti")
-        while True:
-            found, rest = _split_large(rest)
-            links = found if links is None else links.unionByName(found)
-            sizes = written(rest.groupBy("region").count(), "sizes")
-            small = sizes.where(F.col("count") <= region_points).select("region")
-            placed = placed.unionByName(rest.join(small, "region", "left_semi").select(*placed.columns))
-            still = sizes.where(F.col("count") > region_points).select("region")
-            if not still.limit(1).count():
-                break
-            rest = written(rest.join(still, "region", "left_semi"), "large_points")
-    joined = placed.select("region", "set", "n", "ids").groupBy("region").applyInArrow(lambda t: _join_region(t), "a binary, b binary")
-    return joined if links is None else joined.unionByName(links)
+    chosen = points.groupBy("set").agg(F.min("home").alias("home"), F.min("load").alias("load")).withColumn("point", F.xxhash64("set"))
+    members = written(members.join(chosen, "point").select("region", "set", "home", "load"), "members")
+    placed = members.drop("load").join(points.select("set", "home", "n", "ids"), ["set", "home"]).select("region", "set", "n", "ids")
+    home, no = F.lit(HOME), F.lit(False)
+    whole = F.lit(None).cast("bigint")
+    load = members.groupBy("region").agg(F.sum("load").alias("load"), F.count("*").alias("points"))
+    large = written(load.where(F.col("load") > region_points), "large")
+    if not large.limit(1).count():
+        return _links(_single(placed, whole, home, no))
+    links, rest = [], written(placed.join(large, "region", "left_semi"), "large_points")
+    tasks = [_single(placed.join(large, "region", "left_anti"), whole, home, no)]
+    for turn in range(ROUNDS):
+        to_pivots, cells, far = _divided(rest, large, region_points, turn)
+        links.append(to_pivots)
+        tasks += cells
+        rest = far.withColumn("region", F.xxhash64("region", F.lit(turn)))
+        load = written(rest.groupBy("region").agg(F.sum(_load()).alias("load"), F.count("*").alias("points")), "rest_sizes")
+        large = load.where(F.col("load") > region_points)
+        tasks.append(_single(rest.join(load.where(F.col("load") <= region_points), "region", "left_semi"), whole, home, no))
+        rest = rest.join(large, "region", "left_semi")
+        if not large.limit(1).count():
+            break
+    else:
+        half = max(1, region_points // 2)
+        many = rest.join(large.select("region", F.ceil(F.col("load") / half).cast("bigint").alias("other_blocks")), "region")
+        tasks.append(_blocks(many.withColumns({"cell": whole, "role": home, "linked": no, "ball_blocks": F.lit(0).cast("bigint")})))
+    return reduce(DataFrame.unionByName, [_links(reduce(DataFrame.unionByName, tasks)), *links])
+
+
+def _links(tasks: DataFrame) -> DataFrame:
+    return tasks.groupBy("region", "cell", "i", "j", "kind").applyInArrow(lambda t: _join_task(t), "a binary, b binary")
 
 
 def jaccard_components(
@@ -409,7 +512,8 @@ def jaccard_components(
     shingles is alone. A null key never names a component while another is there. Repeated rows are kept.
 
     Texts are read twice and never shuffled. Equal sets meet as one row per task and set, so large groups of copies
-    are counted before they move. Shingles are compared by 64-bit hashes, points by 55 bits of those.
+    are counted before they move. Shingles are compared by 64-bit hashes, points by 51 of those bits in small tables and by
+    all of them in large ones. Very long texts count for more than one point, so tasks stay bounded by bytes.
     """
     found = _grouped(documents, key, text, size, region_points)
     return found.select(F.col("key").alias(key), "n_shingles", "component_id")

@@ -52,14 +52,59 @@ def corpus(seed, n=160):
     return rows + [(5, None), (6, ""), (7, " \n ")]
 
 
-@pytest.mark.parametrize("region_points", [20_000, 15])
+@pytest.mark.parametrize("region_points", [4_000, 15, 4])
 def test_as_brute_force(documents, region_points, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 5)
     rows = corpus(3, 160 if region_points > 100 else 110)
     found = jaccard_join.jaccard_components(documents(rows), region_points=region_points)
     assert sorted(tuple(r) for r in found.collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("pivots", [2, 8])
+def test_templated_texts_take_a_fixed_number_of_rounds(documents, monkeypatch, pivots):
+    """Texts of three sentences out of a few: large regions without many links, which no pivot divides well."""
+    r = random.Random(8)
+    sentences = [[f"s{k}w{i}" for i in range(12)] for k in range(9)]
+    rows = [(k, " ".join(w for s in r.sample(sentences, 3) for w in s) + r.choice(["", f" end{k % 50}"])) for k in range(300)]
+    calls, divided = [], jaccard_join._divided
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "_divided", lambda *a: calls.append(1) or divided(*a))
+    found = jaccard_join.jaccard_components(documents(rows), region_points=12)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+    assert 0 < len(calls) <= jaccard_join.ROUNDS
+
+
+def test_cells_hold_every_linked_pair_or_connect_it():
+    """Voronoi cells and windows on random sets: each linked pair is linked to one pivot, or meets in a cell or the rest."""
+    r = random.Random(2)
+    base = [r.sample(range(1000), 60) for _ in range(6)]
+    sets = [sorted({x if r.random() > p else r.randrange(1000) for x in r.choice(base)}) for p in (0, 0.03, 0.08, 0.2) for _ in range(40)]
+    arrays = [jaccard_join.np.array(x, "u8") for x in sets]
+    names = [jaccard_join.set_key(x) for x in arrays]
+    rows = {name: (len(x), x.tobytes()) for name, x in zip(names, arrays, strict=True)}
+    pivots = set(r.sample(sorted(rows), 6))
+    data = [(1, 0, name, n, ids, flag) for name, (n, ids) in rows.items() for flag in ((False, True) if name in pivots else (False,))]
+    table = jaccard_join.pa.table(dict(zip(["region", "salt", "set", "n", "ids", "is_pivot"], map(list, zip(*data, strict=True)), strict=True)))
+    out = jaccard_join._assign(table).to_pylist()
+    cells, of_pivot, home = {}, {}, {}
+    for x in out:
+        cells.setdefault(x["cell"], set()).add(x["set"])
+        if x["linked"]:
+            of_pivot.setdefault(x["pivot"], {x["pivot"]}).add(x["set"])
+        if x["role"] == jaccard_join.HOME or x["role"] == jaccard_join.BALL:
+            home[x["set"]] = x["cell"]
+    by_name = {name: set(x) for name, x in zip(names, sets, strict=True)}
+    pairs = 0
+    for a in by_name:
+        for b in by_name:
+            shared = len(by_name[a] & by_name[b])
+            if a < b and 4 * shared >= 3 * (len(by_name[a]) + len(by_name[b]) - shared):
+                pairs += 1
+                together = any(a in c and b in c and cell in (home.get(a, 0), home.get(b, 0)) for cell, c in cells.items())
+                assert together or any(a in c and b in c for c in of_pivot.values())
+    assert pairs > 100 and len(cells) > 3
+
+
 def test_links_chain_through_texts_that_do_not_link(documents):
     words = [f"v{k}" for k in range(104)]
     rows = []
@@ -115,14 +160,8 @@ def test_a_large_region_whose_pivots_are_not_within_reach_of_themselves(document
     common = [f"c{i}" for i in range(84)]
     rows = [(k, " ".join(common + tail(k))) for k in range(18)]
     rows += [(50, " ".join(common + tail(50))), (51, " ".join(common + tail(50) + ["end"]))]
-    calls, split = [], jaccard_join._split_large
-
-    def counted(points):
-        calls.append(1)
-        assert len(calls) <= len(rows), "the same points are split again and again"
-        return split(points)
-
-    monkeypatch.setattr(jaccard_join, "_split_large", counted)
+    calls, divided = [], jaccard_join._divided
+    monkeypatch.setattr(jaccard_join, "_divided", lambda *a: calls.append(1) or divided(*a))
     found = jaccard_join.jaccard_components(documents(rows), region_points=15)
     assert sorted(tuple(r) for r in found.collect()) == brute(rows)
     assert calls
