@@ -97,15 +97,21 @@ class Profiles:
         return self.languages[best], float(1.0 - distance[best] / (self.size * len(own)))
 
 
+def _crc(key: Column) -> Column:
+    """The unsigned crc32 of an id's text, that of an empty one for null."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+
+
 def held_out(key: Column) -> Column:
     """Documents that nothing is learned from: crc32 of the id's text mod 4 is 2."""
-    return F.coalesce(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(_crc(key) % 4 == 2, F.lit(False))
 
 
 def learn(
     documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, sample: int = SAMPLE_PER_LANGUAGE
 ) -> Profiles:
-    """Profiles from labelled rows that aren't held out: all of them, or about ``sample`` per language by hash.
+    """Profiles from labelled rows that aren't held out: all of them, or about ``sample`` per language, by the upper bits
+    of their ids' crc32.
 
     Counting is by language and n-gram with sums before the shuffle; the driver gets ``size`` n-grams a language.
     """
@@ -116,7 +122,7 @@ def learn(
     for name, n in counts.items():
         if n > sample:
             share = F.when(F.col("lang") == name, F.lit(sample / n)).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = usable.where(F.shiftright(_crc(F.col("key")), 12) < share * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +148,9 @@ def learn(
 def predict(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, held_out, lang_pred, score (0 to 1). Only the text is looked at.
 
-    A null text, or one without letters, is ``und`` with score 0, as is every text when no language was learned.
-    One pass without a shuffle.
+    A null text, or one without letters, is ``und`` with score 0, as is every text when no language was learned. Of
+    languages at the same distance the first by name wins. Long texts are counted whole, in parts whose counts are
+    summed; repeated rows are told one by one. One pass without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,3 +198,26 @@ def crc_is_held_out(key: object) -> bool:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return predict(documents, learn(documents))
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, lang, text, row_number() OVER () AS row, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: coalesce(nullif(ord(x), -1), 0)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS c FROM documents),
+k AS (SELECT doc_id, lang, text, row, xor(c, 4294967295::BIGINT) AS crc FROM d),
+u AS (SELECT *, least(1::DOUBLE, {SAMPLE_PER_LANGUAGE} / count(*) OVER (PARTITION BY lang)::DOUBLE) AS share FROM k
+  WHERE lang IS NOT NULL AND text IS NOT NULL AND crc % 4 <> 2),
+w AS (SELECT row, chr(1) || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', chr(1), 'g'), chr(1)) || chr(1) AS t FROM k WHERE text IS NOT NULL),
+x AS (SELECT row, t, unnest(range(1, length(t) + 1)) AS i FROM w WHERE length(t) > 2),
+g AS (SELECT row, unnest([CASE WHEN substr(t, i, 1) <> chr(1) THEN substr(t, i, 1) END, CASE WHEN i < length(t) THEN substr(t, i, 2) END,
+  CASE WHEN i < length(t) - 1 AND substr(t, i + 1, 1) <> chr(1) THEN substr(t, i, 3) END]) AS g FROM x),
+n AS (SELECT row, g, count(*) AS n FROM g WHERE g IS NOT NULL GROUP BY ALL),
+o AS (SELECT row, g, row_number() OVER (PARTITION BY row ORDER BY n DESC, length(g), g) - 1 AS r FROM n QUALIFY r < {PROFILE}),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS r
+  FROM u JOIN n USING (row) WHERE u.crc >> 12 < share * 1048576 GROUP BY lang, g QUALIFY r < {PROFILE}),
+s AS (SELECT row, lang, sum(CASE WHEN p.r IS NULL THEN {PROFILE} ELSE abs(p.r - o.r) END)::BIGINT AS d, count(*) AS m
+  FROM (SELECT * FROM o, (SELECT DISTINCT lang FROM p)) o LEFT JOIN p USING (lang, g) GROUP BY ALL),
+b AS (SELECT row, lang, 1::DOUBLE - d::DOUBLE / ({PROFILE} * m)::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, lang) = 1)
+SELECT k.doc_id, k.crc % 4 = 2 AS held_out, coalesce(b.lang, '{UNKNOWN}') AS lang_pred, coalesce(b.score, 0::DOUBLE) AS score FROM k LEFT JOIN b USING (row)
+"""

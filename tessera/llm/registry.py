@@ -18,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_jaccard_join": jaccard_join.OP1_SQL,
     "op2_decontamination": decontamination.OP2_SQL,
+    "op4_language_id": language_id.OP4_SQL,
     "op5_sharding": sharding.OP5_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
 }

@@ -1,4 +1,7 @@
+import os
+import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -172,3 +175,78 @@ def test_names_that_the_whole_text_stands_under():
 def test_a_page_of_many_megabytes():
     paragraphs = [f"Paragraph {k} of a very long article, written to the end." for k in range(60_000)]
     assert html_text.Page(page("".join(f"<p>{p}</p>" for p in paragraphs))).text() == "\n".join(paragraphs)
+
+
+class Plain(HTMLParser):
+    """Another extractor, for pages with one article: what stands in it, by the standard library's parser."""
+
+    BLOCKS = set("p h1 h2 h3 ul ol li div section blockquote article header footer table tr td th pre figure figcaption".split())
+    AWAY = set("script style nav footer aside form noscript".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.now = [], [], []
+
+    def end_block(self):
+        words = " ".join("".join(self.now).split())
+        self.blocks += [words] if words else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.end_block()
+            while self.stack and self.stack[-1][0] in ("p", "b"):
+                self.stack.pop()
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in ("meta", "img", "hr", "link"):
+            self.stack.append((tag, tag in self.AWAY or {"ad", "comments"} & set((dict(attrs).get("class") or "").split())))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.end_block()
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                del self.stack[k:]
+                break
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(a for _, a in self.stack):
+            self.now.append(data)
+
+
+def plain_text(source):
+    parser = Plain()
+    parser.feed(source)
+    parser.close()
+    parser.end_block()
+    return "\n".join(parser.blocks)
+
+
+def random_page(r):
+    words = lambda n: " ".join(r.choice("river,stone,quiet,caf&eacute;,letter,&amp;,window,&#233;t&#xe9;,<b>bold</b>,<a href='/x'>a link</a>".split(",")) for _ in range(n))
+    inner = ["<p>{}</p>", "<p>{}<br>{}", "<h2>{}</h2>", "<ul><li>{}<li>{}</ul>", "<blockquote><p>{}</p></blockquote>", "<section class='part'><p>{}</p></section>", "<div>{}</div>"]
+    noise = ["<div class=ad>{}</div>", "<aside><p>{}</p></aside>", "<script>var x = '<p>';</script>", "<form><p>{}</p></form>", "<!-- <p>no</p> -->", "<div class='comments'><p>{}</p></div>"]
+    fill = lambda part: re.sub(r"\{\}", lambda _: words(r.randrange(3, 30)), part)
+    body = [fill(r.choice(inner)) for _ in range(r.randrange(3, 9))]
+    for _ in range(r.randrange(3)):
+        body.insert(r.randrange(len(body) + 1), fill(r.choice(noise)))
+    around = [fill(r.choice(noise)) for _ in range(r.randrange(4))]
+    return f"<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav>{''.join(around)}<div class='main'><article class='post'>{''.join(body)}</article></div><footer>Us</footer></body></html>"
+
+
+def test_texts_as_by_another_extractor(spark):
+    r = random.Random(12)
+    rows = [(k, f"http://h{k % 5}.example/{k}", random_page(r)) for k in range(400)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    got = {x["page_id"]: x["text"] for x in found}
+    for k, _, source in rows:
+        assert got[k] == plain_text(source), source
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="the driver's tables aren't here")
+def test_the_driver_s_pages_as_by_another_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    source = {x["page_id"]: x["html"] for x in pages.collect()}
+    found = html_text.extract(pages).collect()
+    assert len(found) == len(source) and all(x["text"] == plain_text(source[x["page_id"]] or "") and x["n_chars"] == len(x["text"]) for x in found)
