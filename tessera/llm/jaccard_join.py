@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import arrow_text
 from .components import components
 from .words import shingle_set, windows, word_hashes
-from .workspace import bound_batches, fields, table, without, written
+from .workspace import bound_batches, fields, release_memory, table, without, written
 
 SHINGLE = 5
 #: Similarity of linked sets at least, as (up, down): 100 * shared >= 75 * union.
@@ -134,6 +134,8 @@ def _pack_shingles(documents: DataFrame, text: str, size: int, bits: int) -> Dat
                         home, sets, n = home + 1, {}, 0
         if sets:
             yield packed(sets, home)
+            sets = {}
+        release_memory()
 
     return documents.select(text).mapInArrow(run, _PACKED)
 
@@ -176,6 +178,14 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_packed(out)])
 
 
+def _light(work: Callable[[pa.Table], pa.Table], group: pa.Table) -> pa.Table:
+    """Work on a large group, after which the worker's freed memory is given back."""
+    large, out = group.nbytes > 4 << 20, work(group)
+    if large:
+        release_memory()
+    return out
+
+
 _POINTS = "home bigint, set binary, n bigint, ids binary, border array<bigint>, load bigint"
 
 
@@ -458,8 +468,8 @@ def similar_sets(documents: DataFrame, total: int, text: str = "text", size: int
     """Links (a, b) between names of different sets, enough to connect all that chains of links connect."""
     bits = min(24, max(3, math.ceil(math.log2(max(1, total) / RANGE_SHINGLES))))
     packed = _pack_shingles(documents, text, size, bits)
-    shared = packed.groupBy("part").applyInArrow(_shared, _PACKED)
-    points = written(shared.groupBy("home").applyInArrow(lambda t: _points(t, bits), _POINTS), "points")
+    shared = packed.groupBy("part").applyInArrow(lambda t: _light(_shared, t), _PACKED)
+    points = written(shared.groupBy("home").applyInArrow(lambda t: _light(lambda x: _points(x, bits), t), _POINTS), "points")
     # cells and regions go by 64-bit names of points: should two points ever share one, a region has both of them
     point = F.xxhash64("set").alias("point")
     cells = points.select(point, F.explode("border").alias("shingle"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import fields, table
+from .workspace import fields, release_memory, table
 
 #: n-grams of 1 to 3 letters with word borders; three 21-bit code points fill one 64-bit code.
 PROFILE = 400
@@ -186,6 +186,7 @@ def in_known_language(documents: DataFrame, key: str = "doc_id", text: str = "te
             else:
                 kept = [len(ngrams(t)[0]) > 0 for t in texts]
             yield batch.filter(pa.array(kept, pa.bool_()))
+        release_memory()
 
     return documents.mapInArrow(run, schema)
 

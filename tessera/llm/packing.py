@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrow_text, token_ids
-from .workspace import fields, table, written
+from .workspace import fields, release_memory, table, written
 
 WINDOW, END_ID = 2048, 1
 #: Pieces that one task packs together.
@@ -104,6 +104,7 @@ def cut_pieces(df: DataFrame, kind: str, path: str, window: int, end_id: int) ->
                 numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, n[row])]
                 keys = batch.column(0).take(pa.array(row + a, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, *numbers], names=["key", "start", "length", "ids_crc32", "doc_tokens"])
+        release_memory()
 
     return df.mapInArrow(run, PIECES.format(kind=kind))
 

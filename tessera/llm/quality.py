@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import arrow_text
 from .words import PIECE, SPACE, _hash_spans, mix, spans, windows
-from .workspace import fields, table
+from .workspace import fields, release_memory, table
 
 #: Labelled documents of each quality that the field is trained on, at most about so many, picked by hash.
 SAMPLE_PER_LABEL = 1_500
@@ -422,6 +422,7 @@ def keep_good(documents: DataFrame, field: LineField, text: str = "text", least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(at), field, least)[2]))
+        release_memory()
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrow_text, token_ids
-from .workspace import fields, shared_dir, table, written
+from .workspace import fields, release_memory, shared_dir, table, written
 
 MAGIC = b"WVMATRX1"
 BLOCK = 1 << 16
@@ -276,6 +276,8 @@ def write_token_files(
                     shard, number = _Shard(), number + 1
         if shard.bytes:
             yield shard.publish(number, folder)
+        del shard
+        release_memory()
 
     # the rows go together before they are written: a file of its own for each would be a waste of many small files
     manifest = placed.mapInArrow(run, MANIFEST).repartition(max(1, math.ceil(total / shard_bytes / MANIFEST_ROWS)))
