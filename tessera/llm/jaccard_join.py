@@ -36,7 +36,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import arrow_text
 from .components import components
 from .words import shingle_set, windows, word_hashes
-from .workspace import bound_batches, fields, release_memory, table, without, written
+from .workspace import bound_batches, fields, release_memory, scratch, table, without, written
 
 SHINGLE = 5
 #: Similarity of linked sets at least, as (up, down): 100 * shared >= 75 * union.
@@ -529,23 +529,30 @@ def jaccard_components(
     return found.select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
-def _grouped(documents: DataFrame, key: str, text: str, size: int, region_points: int) -> DataFrame:
-    """(key, n_shingles, set, component_id, stays): stays is true of rows without shingles, and of those with the least
-    key and, under that key, the least set of their component, which are repeated rows where they are several."""
-    rows = written(set_keys(documents, key, text, size), "sets")
+def _components_of_sets(rows: DataFrame, documents: DataFrame, text: str, size: int, region_points: int) -> DataFrame:
+    """Rows (key, n_shingles, set) -> (set, component_id, first), where first is true of one set of each component."""
     # nodes are sets, in order of their least key with nulls last: the least node of a component has its least key
     least = F.min("key").alias("least")
     classes = rows.where("set is not null").groupBy("set").agg(least).select("set", F.struct(F.isnull("least").alias("none"), "least", "set").alias("node"))
     classes = written(classes, "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    named = written(similar_sets(documents, total, text, size, region_points), "set_links")
+    with scratch(documents.sparkSession):
+        named = written(similar_sets(documents, total, text, size, region_points), "set_links", keep=True)
     ends = named.join(classes.select(F.col("set").alias("a"), F.col("node").alias("x")), "a")
     ends = ends.join(classes.select(F.col("set").alias("b"), F.col("node").alias("y")), "b")
     found = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = found.select(F.col("node.set").alias("set"), F.col("component").alias("first"))
     least = classes.join(found, "set", "left").select("set", F.coalesce("first", "node").alias("first"))
-    least = least.select("set", F.col("first.least").alias("component_id"), (F.col("first.set") == F.col("set")).alias("first"))
-    joined = rows.join(written(least, "component_of_set"), "set", "left")
+    return least.select("set", F.col("first.least").alias("component_id"), (F.col("first.set") == F.col("set")).alias("first"))
+
+
+def _grouped(documents: DataFrame, key: str, text: str, size: int, region_points: int) -> DataFrame:
+    """(key, n_shingles, set, component_id, stays): stays is true of rows without shingles, and of those with the least
+    key and, under that key, the least set of their component, which are repeated rows where they are several."""
+    rows = written(set_keys(documents, key, text, size), "sets")
+    with scratch(documents.sparkSession):
+        least = written(_components_of_sets(rows, documents, text, size, region_points), "component_of_set", keep=True)
+    joined = rows.join(least, "set", "left")
     stays = F.isnull("set") | (F.col("first") & F.col("key").eqNullSafe(F.col("component_id")))
     return joined.select("key", "n_shingles", "set", F.coalesce("component_id", "key").alias("component_id"), stays.alias("stays"))
 
@@ -557,7 +564,8 @@ def one_per_group(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Rows go by key where all rows of a key go. Only those keys of which some rows stay and some go, as null or a
     repeated one may, have their rows numbered, written and told apart by their sets.
     """
-    found = written(_grouped(documents, key, text, size, region_points), "groups")
+    with scratch(documents.sparkSession):
+        found = written(_grouped(documents, key, text, size, region_points), "groups", keep=True)
     kinds = found.groupBy("key", "set", "stays").agg(F.count("*").alias("n"))
     left = F.when(F.isnull("set"), F.col("n")).when(F.col("stays"), F.lit(1)).otherwise(F.lit(0))
     keys = written(kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum(left).alias("left")), "keys")

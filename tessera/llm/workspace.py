@@ -6,6 +6,9 @@ import ctypes
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write the rows to shared storage as Parquet and read them back: lineage ends there."""
+_scratch: ContextVar[list[list[str]]] = ContextVar("scratch", default=[])
+
+
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+    """Write the rows to shared storage as Parquet and read them back: lineage ends there. Within ``scratch`` the table is
+    deleted at the end, or, if ``keep``, belongs to what is around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
+    scopes = _scratch.get()
+    at = len(scopes) - 1 - keep
+    if at >= 0:
+        scopes[at].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end. Whatever still reads them must be written with ``keep``."""
+    own: list[str] = []
+    token = _scratch.set([*_scratch.get(), own])
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +77,8 @@ def release_memory() -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits to ``BATCH_ROWS`` and ``BATCH_BYTES`` where they are higher."""
+    """Lower the session's Arrow batch limits to ``BATCH_ROWS`` and ``BATCH_BYTES`` where they are higher. They hold when a
+    plan runs, which is after the operator has returned, so they stay lowered."""
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))

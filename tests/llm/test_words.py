@@ -49,3 +49,21 @@ def test_sliced_arrow_columns():
     column = pa.array(["aa", None, "bb cc", "dd"])[1:3]
     data, offsets = arrow_text.flat(column)
     assert data.tobytes() == b"bb cc" and offsets.tolist() == [0, 0, 5]
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    from tessera.llm.workspace import scratch, written
+
+    with scratch(spark):
+        with scratch(spark):
+            inner = written(spark.range(3), "inner")
+            outer = written(inner.where("id > 0"), "outer", keep=True)
+        assert outer.count() == 2 and not inner_is_there(inner)
+        result = written(outer.where("id > 1"), "result", keep=True)
+    assert result.count() == 1 and not inner_is_there(outer)
+
+
+def inner_is_there(df):
+    import os
+
+    return all(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())
