@@ -150,7 +150,7 @@ def load_fundamentals_ttm(facts: DataFrame, dates, tickers=None, fields=None, *,
 
     Of each quarter the best visible version counts; the latest four must be adjacent (70 to 125 days), span 250 to
     300 days and end within ``max_staleness_days``. There is no falling back to an older complete year. A quarter
-    without a value counts as a quarter and adds nothing.
+    without a value counts as a quarter and adds nothing. Filings aren't multiplied by the dates at which they are visible.
     """
     names = check_fields(fields)
     for f in names or []:
@@ -158,12 +158,19 @@ def load_fundamentals_ttm(facts: DataFrame, dates, tickers=None, fields=None, *,
             raise ValueError(f"{f} can't be summed")
     days = _dates(dates, facts)
     known = facts.where(scope(tickers, names if names is not None else ADDITIVE) & (F.col("period_months") == 3))
-    narrow = known.select("ticker", "field", "period_end", "value", "filed", "derived", "accn")
-    if max_staleness_days is None:  # every filing stays visible: a nested loop over the few dates asked for
-        seen = narrow.join(F.broadcast(days), F.col("filed") <= F.col("date"))
+    keys = ["ticker", "field", "period_end"]
+    periods = known.groupBy(*keys).agg(F.min("filed").alias("first"))
+    if max_staleness_days is None:  # every period stays visible: a nested loop over the few dates asked for
+        asked = periods.join(F.broadcast(days), F.col("first") <= F.col("date"))
     else:
-        seen = range_join(narrow, F.col("filed"), F.date_add("period_end", max_staleness_days + YEAR_SPAN[1]), days)
-    quarters = seen.groupBy("date", "ticker", "field", "period_end").agg(F.max_by(F.struct("value"), _version()).alias("best"))
+        asked = range_join(periods, F.col("first"), F.date_add("period_end", max_staleness_days + YEAR_SPAN[1]), days)
+    # the filings of a period and the dates that ask for it in one order: the running maximum is what was known
+    events = known.select(*keys, F.col("filed").alias("at"), F.lit(0).alias("asks"), F.struct(_version().alias("version"), "value").alias("seen"))
+    none = F.lit(None).cast(events.schema["seen"].dataType)
+    asks = asked.select(*keys, F.col("date").alias("at"), F.lit(1).alias("asks"), none.alias("seen"))
+    order = W.partitionBy(*keys).orderBy("at", "asks").rowsBetween(W.unboundedPreceding, 0)
+    quarters = events.unionByName(asks).withColumn("best", F.max_by("seen", "seen.version").over(order))
+    quarters = quarters.where((F.col("asks") == 1) & F.col("best").isNotNull()).select(F.col("at").alias("date"), *keys, "best")
     newest = W.partitionBy("date", "ticker", "field").orderBy(F.col("period_end").desc())
     four = quarters.withColumn("k", F.row_number().over(newest)).where("k <= 4")
     four = four.withColumn("gap", F.datediff(F.lag("period_end").over(newest), "period_end"))

@@ -52,7 +52,7 @@ p AS (SELECT date_trunc('week', l_shipdate)::DATE AS date, l_suppkey::VARCHAR AS
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, ticker, close, adj_close) by week; every seventeenth adjusted close is missing."""
-    week = F.date_trunc("week", "l_shipdate").cast("date")
+    week = F.trunc(F.col("l_shipdate").cast("date"), "week")
     rows = _table(spark, sf_dir, "lineitem").select(week.alias("date"), "l_suppkey", "l_extendedprice")
     weekly = rows.groupBy("date", "l_suppkey").agg(F.max("l_extendedprice").cast("double").alias("close"))
     number = F.floor(F.datediff("date", F.lit("1995-01-02").cast("date")) / 7)
@@ -73,7 +73,7 @@ DATE_SQL = "d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE da
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
-    start = F.date_trunc("quarter", "o_orderdate").cast("date")
+    start = F.trunc(F.col("o_orderdate").cast("date"), "quarter")
     end = F.date_sub(F.add_months(start, 3), 1)
     company = (F.col("o_custkey") % 8).cast("string")
     return o.select(
@@ -462,7 +462,7 @@ YTD_SQL = """y AS (SELECT 'T' || lpad((o_custkey // 8)::VARCHAR, 10, '0') AS tic
 
 def _year_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, key = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    start = F.date_trunc("quarter", "o_orderdate").cast("date")
+    start = F.trunc(F.col("o_orderdate").cast("date"), "quarter")
     end = F.date_sub(F.add_months(start, 3), 1)
     company = F.lpad(F.expr("o_custkey div 8").cast("string"), 10, "0")
     return o.select(
@@ -471,7 +471,7 @@ def _year_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, "revenue").otherwise("net_income").alias("field"),
         F.concat(F.lit("c"), (key % 3).cast("string")).alias("concept"),
         F.lit("USD").alias("unit"),
-        F.date_trunc("year", "o_orderdate").cast("date").alias("period_start"),
+        F.trunc(F.col("o_orderdate").cast("date"), "year").alias("period_start"),
         end.alias("period_end"),
         (F.quarter("o_orderdate") * 3 + F.when(key % 13 == 0, 1).otherwise(0)).cast("bigint").alias("period_months"),
         F.round(F.col("o_totalprice").cast("double"), 2).alias("value"),
@@ -515,7 +515,7 @@ SELECT ticker, field, 'us-gaap:' || concept AS concept, period_start, period_end
 )
 def _standardize(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
-    start = F.date_trunc("quarter", "o_orderdate").cast("date")
+    start = F.trunc(F.col("o_orderdate").cast("date"), "quarter")
     company = (F.col("o_custkey") % 8).cast("string")
     names = F.array(*[F.lit(n) for n in ("Revenues", "SalesRevenueNet", "NetIncomeLoss", "ProfitLoss", "Other")])
     raw = o.select(
@@ -684,7 +684,7 @@ def _company_facts(spark, sf_dir):
     o, key = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
     item = F.struct(
-        F.date_trunc("quarter", "o_orderdate").cast("date").cast("string").alias("start"),
+        F.trunc(F.col("o_orderdate").cast("date"), "quarter").cast("string").alias("start"),
         day.cast("string").alias("end"),
         F.when(key % 7 != 0, F.round(F.col("o_totalprice").cast("double"), 2)).alias("val"),
         F.lpad(key.cast("string"), 10, "0").alias("accn"),
