@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,22 @@ from ..sources.store import Catalog, save_fundamentals, save_members, save_price
 from ..sources.vendor_prices import get_prices, missing_tickers
 
 
+@contextmanager
+def _archive(place: str) -> Iterator[zipfile.ZipFile]:
+    """A ZIP in any store that pyarrow knows (a URI such as hdfs://, s3:// or file://), or at a local path; only the parts that
+    are asked for are read. Executors open it too, so a local path must be there on all of them."""
+    files, path = pafs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pafs.LocalFileSystem(), place)
+    with files.open_input_file(path) as stream, zipfile.ZipFile(stream) as found:
+        yield found
+
+
 def _payloads(entities: DataFrame, archive: str) -> DataFrame:
     """(ticker, entity) -> (ticker, payload): each document read from the ZIP and checked where it is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        with zipfile.ZipFile(archive) as found:
+        with _archive(archive) as found:
             for batch in batches:
                 for ticker, entity in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     name = f"CIK{entity}.json"
@@ -72,6 +83,14 @@ class SP500Data:
         self.companyfacts, self.db, self.write, self.fetch = companyfacts, db, write, fetch
         self.report: dict = {}
         self.quarantine = self.spark.createDataFrame([], fact_schema())
+        self._cached: list[DataFrame] = []
+
+    def _cache(self, *frames: DataFrame) -> list[DataFrame]:
+        """Caches the last call's results only."""
+        for old in self._cached:
+            old.unpersist()
+        self._cached = [frame.cache() for frame in frames]
+        return self._cached
 
     def _writes(self, write: bool | None) -> bool:
         wanted = self.write if write is None else write
@@ -94,7 +113,7 @@ class SP500Data:
         wanted = self._writes(write)
         if self.companyfacts is None:
             raise ValueError("fundamentals() needs companyfacts")
-        with zipfile.ZipFile(self.companyfacts) as archive:
+        with _archive(self.companyfacts) as archive:
             names = set(archive.namelist())
         self.report = {"kind": "fundamentals", "missing_mappings": [], "missing_files": [], "written": False}
         entities, done = [], []
@@ -113,7 +132,7 @@ class SP500Data:
         listed = self.spark.createDataFrame(entities, "ticker string, entity string")
         spread = listed.repartition(max(1, min(len(entities), 2 * self.spark.sparkContext.defaultParallelism)))
         facts, bad = standard_facts(_payloads(spread, self.companyfacts), self._universe.select("ticker", "cik"))
-        facts, self.quarantine = facts.cache(), bad.cache()
+        facts, self.quarantine = self._cache(facts, bad)
         found = facts.groupBy("ticker", "field").agg(F.count("*").alias("n"), F.count_if("derived").alias("derived")).collect()
         present = {(r["ticker"], r["field"]) for r in found}
         self.report |= {
@@ -136,7 +155,7 @@ class SP500Data:
         if end is not None and str(end) <= str(start):
             raise ValueError("end must be after start")
         tickers = [r["ticker"] for r in self._universe.select("ticker").collect()]
-        found = get_prices(self.fetch, tickers, start, end).cache()
+        (found,) = self._cache(get_prices(self.fetch, tickers, start, end))
         n = found.count()
         gone = [r["ticker"] for r in missing_tickers(found, self._universe).orderBy("ticker").collect()]
         self.report = {"kind": "prices", "written": False, "rows": n, "missing_tickers": gone}

@@ -77,7 +77,7 @@ def test_stored_facts_by_the_public_readers(ingested):
 def test_gaps_in_the_sources(spark, ingested):
     root, _, _, _, _ = ingested
     members = spark.createDataFrame([("AA", "A", "1"), ("CC", "C", "3"), ("DD", "D", None)], "ticker string, name string, cik string")
-    data = SP500Data(universe=members, companyfacts=str(root / "facts.zip"))
+    data = SP500Data(universe=members, companyfacts=(root / "facts.zip").as_uri())
     with pytest.raises(ValueError):
         data.fundamentals()
     assert {r["ticker"] for r in data.fundamentals(allow_partial=True).collect()} == {"AA"}
